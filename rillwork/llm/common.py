@@ -11,13 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches by rows and bytes, where the session has not chosen already."""
+    """Let the executors import this package, and bound Arrow batches where the session has not chosen already."""
+    ship_package(spark)
     for key, value in (
         ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"),
         ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20)),
