@@ -1,12 +1,13 @@
-"""Session helpers shared by all queries."""
+"""Session helpers shared by all queries: shipping the package, and tables in shared storage that cut lineage."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
@@ -25,3 +26,25 @@ def ship_package(spark: SparkSession) -> SparkSession:
     sc.addPyFile(target)
     sc._rillwork_shipped = True
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share; a temporary one only where the session names none."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="rillwork-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/rillwork-{tag}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write to the shared folder and read back: cuts the lineage and survives lost executors. The planner then knows the
+    true size, so broadcasts are decided on measured bytes."""
+    spark = df.sparkSession
+    path = fresh_path(spark, tag)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
