@@ -222,7 +222,7 @@ def taper_blend(windows: DataFrame, size: int) -> DataFrame:
 
 def quantise(p: Column) -> Column:
     """Probability to 0..250, 255 for none."""
-    return F.coalesce(F.least(F.greatest(F.bround(p * 250), F.lit(0)), F.lit(250)).cast("short"), F.lit(255).cast("short"))
+    return F.when(p.isNotNull(), F.least(F.greatest(F.bround(p * 250), F.lit(0)), F.lit(250))).otherwise(F.lit(255)).cast("short")
 
 
 def dequantise(q: Column) -> Column:

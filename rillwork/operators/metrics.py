@@ -25,11 +25,11 @@ def recall_at(rows: DataFrame, group: list[str], tile: str, k: int, positive: Co
 
 def average_precision(rows: DataFrame, group: list[str], score: str, y: str) -> DataFrame:
     """Sum over thresholds of the gain in recall times precision; equal scores are one threshold."""
-    steps = rows.where(F.col(y).isNotNull()).groupBy(*group, score).agg(F.count("*").alias("n"), F.sum(y).alias("p"))
+    steps = rows.where(F.col(y).isNotNull()).groupBy(*group, score).agg(F.count("*").alias("__n"), F.sum(y).alias("__p"))
     w = Window.partitionBy(*group).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    c = steps.withColumns({"cn": F.sum("n").over(w), "cp": F.sum("p").over(w), "tp": F.sum("p").over(Window.partitionBy(*group))})
-    gain = F.when(F.col("tp") > 0, F.col("p") / F.col("tp") * (F.col("cp") / F.col("cn")))
-    return c.groupBy(*group).agg(F.sum(gain).alias("ap"), F.sum("p").alias("n_pos"), F.sum("n").alias("n_rows"))
+    c = steps.withColumns({"__cn": F.sum("__n").over(w), "__cp": F.sum("__p").over(w), "__tp": F.sum("__p").over(Window.partitionBy(*group))})
+    gain = F.when(F.col("__tp") > 0, F.col("__p") / F.col("__tp") * (F.col("__cp") / F.col("__cn")))
+    return c.groupBy(*group).agg(F.sum(gain).alias("ap"), F.sum("__p").alias("n_pos"), F.sum("__n").alias("n_rows"))
 
 
 def roc_auc(rows: DataFrame, group: list[str], score: str, y: str) -> DataFrame:

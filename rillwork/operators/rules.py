@@ -119,7 +119,7 @@ def tri_state(text: Column) -> Column:
 
 def source_flags(text: Column, names: list[str]) -> dict[str, Column]:
     """One 0/1 column a source name in text split at + , or ;."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), "[+,;]"), F.trim)
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), "[+,;]"), lambda v: F.trim(v))
     return {f"src_{n}": F.array_contains(parts, n).cast("int") for n in names}
 
 

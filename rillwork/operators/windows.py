@@ -73,7 +73,7 @@ def value_runs(rows: DataFrame, keys: list[str], order: list[str], value: str) -
     return d.groupBy(*keys, "run").agg(F.first(value).alias(value), F.count("*").alias("n_rows"), F.min("__all").alias("first_at"))
 
 
-def gap_rise(rows: DataFrame, keys: list[str], along: str, value: str = "z", inner: float = 6.0, outer: float = 15.0) -> DataFrame:
+def gap_rise(rows: DataFrame, keys: list[str], along: str, value: str = "z", inner: int = 6, outer: int = 15) -> DataFrame:
     """`rise`: greatest value within `inner` of a row minus the higher of the least values beyond, out to `outer`."""
     w = Window.partitionBy(*keys).orderBy(along)
     top = F.max(value).over(w.rangeBetween(-inner, inner))

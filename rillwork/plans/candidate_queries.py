@@ -107,11 +107,11 @@ def calibrate_threshold(spark, d):
 
 
 @C.add("score_summary", over("cand", """, t AS (SELECT kind, (score - 150000) / 1000 AS v FROM cand)
-  SELECT kind, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.05) AS p5, quantile_cont(v, 0.95) AS p95, round_even(avg(v), 6) AS mean, max(abs(v)) AS max_abs,
+  SELECT kind, round_even(quantile_cont(v, 0.5), 6) AS median, round_even(quantile_cont(v, 0.05), 6) AS p5, round_even(quantile_cont(v, 0.95), 6) AS p95, round_even(avg(v), 6) AS mean, max(abs(v)) AS max_abs,
   round_even(avg(CASE WHEN abs(v) <= 50 THEN 1.0 ELSE 0.0 END), 9) AS share, count(*) AS n FROM t GROUP BY kind"""))
 def score_summary(spark, d):
     t = cand(spark, d).select("kind", ((F.col("score") - 150000) / 1000).alias("v"))
-    return metrics.summary(t, ["kind"], "v", 50.0).withColumns({"mean": F.bround("mean", 6), "share": b9("share")})
+    return metrics.summary(t, ["kind"], "v", 50.0).withColumns({**{c: F.bround(c, 6) for c in ("median", "p5", "p95", "mean")}, "share": b9("share")})
 
 
 @C.add("bootstrap_auc")
@@ -162,7 +162,7 @@ def value_counts(spark, d):
   SELECT tile, string_agg(council || '=' || n, ';' ORDER BY council) AS label_sources FROM c GROUP BY tile"""))
 def nested_counts(spark, d):
     c = cand(spark, d).groupBy("tile", "council").agg(F.count("*").alias("n"))
-    pairs = F.array_sort(F.collect_list(F.concat_ws("=", "council", F.col("n").cast("string"))))
+    pairs = F.transform(F.array_sort(F.collect_list(F.struct("council", "n"))), lambda v: F.concat_ws("=", v["council"], v["n"].cast("string")))
     return c.groupBy("tile").agg(F.array_join(pairs, ";").alias("label_sources"))
 
 
@@ -224,18 +224,18 @@ def seeded_sample(spark, d):
     return windows.top_k(cand(spark, d), ["kind"], 40, key, F.col("id")).select("id", "kind")
 
 
-@C.add("registry_order", over("cand", "SELECT id, at, score FROM cand WHERE kind = '1-URGENT' AND status = 'F' ORDER BY at DESC, id DESC LIMIT 50"))
+@C.add("registry_order", over("cand", "SELECT id, made, score FROM cand WHERE kind = '1-URGENT' AND status = 'F' ORDER BY made DESC, id DESC LIMIT 50"))
 def registry_order(spark, d):
-    return cand(spark, d).where("kind = '1-URGENT' and status = 'F'").orderBy(F.desc("at"), F.desc("id")).limit(50).select("id", "at", "score")
+    return cand(spark, d).where("kind = '1-URGENT' and status = 'F'").orderBy(F.desc("made"), F.desc("id")).limit(50).select("id", "made", "score")
 
 
-_REG = """, reg AS (SELECT id, substr(sha256(kind || status), 1, 12) AS key, at AS created_at, score / 100 - 2000 AS xmin, score / 100 - 1000 AS ymin, score / 100 + 100 AS xmax, score / 100 + 200 AS ymax FROM cand)"""
+_REG = """, reg AS (SELECT id, substr(sha256(kind || status), 1, 12) AS key, made AS created_at, score / 100 - 2000 AS xmin, score / 100 - 1000 AS ymin, score / 100 + 100 AS xmax, score / 100 + 200 AS ymax FROM cand)"""
 
 
 def _registry(spark, d):
     s = F.col("score") / 100
     return cand(spark, d).select(
-        "id", scalars.digest(F.concat("kind", "status"), 12).alias("key"), F.col("at").alias("created_at"), (s - 2000).alias("xmin"), (s - 1000).alias("ymin"), (s + 100).alias("xmax"), (s + 200).alias("ymax")
+        "id", scalars.digest(F.concat("kind", "status"), 12).alias("key"), F.col("made").alias("created_at"), (s - 2000).alias("xmin"), (s - 1000).alias("ymin"), (s + 100).alias("xmax"), (s + 200).alias("ymax")
     )
 
 
@@ -306,27 +306,27 @@ def work_status(spark, d):
     return catalog.work_status(m, log, F.lit("p1"), F.lit("v1")).select("id", "status")
 
 
-@C.add("source_plan_order", over("cand", """, s AS (SELECT council AS slug, max(at) AS "end", min(at) AS updated, council < 'C' AS national FROM cand GROUP BY council)
+@C.add("source_plan_order", over("cand", """, s AS (SELECT council AS slug, max(made) AS "end", min(made) AS updated, council < 'C' AS national FROM cand GROUP BY council)
   SELECT slug, row_number() OVER (ORDER BY national, CASE slug WHEN 'JAPAN' THEN 0 WHEN 'FRANCE' THEN 1 ELSE 2 END, "end" DESC, updated DESC, slug) AS survey_index FROM s WHERE slug <> 'CHINA'"""))
 def source_plan_order(spark, d):
-    s = cand(spark, d).groupBy(F.col("council").alias("slug")).agg(F.max("at").alias("end"), F.min("at").alias("updated")).withColumn("national", F.col("slug") < "C")
+    s = cand(spark, d).groupBy(F.col("council").alias("slug")).agg(F.max("made").alias("end"), F.min("made").alias("updated")).withColumn("national", F.col("slug") < "C")
     return catalog.source_plan(s, ["JAPAN", "FRANCE"], ["CHINA"]).select("slug", F.col("survey_index").cast("long").alias("survey_index"))
 
 
-@C.add("paired_plan", over("cand", """, s AS (SELECT council AS slug, max(at) AS "end", min(at) AS updated, council < 'C' AS national FROM cand GROUP BY council),
+@C.add("paired_plan", over("cand", """, s AS (SELECT council AS slug, max(made) AS "end", min(made) AS updated, council < 'C' AS national FROM cand GROUP BY council),
   p AS (SELECT slug, row_number() OVER (ORDER BY national, "end" DESC, updated DESC, slug) AS survey_index FROM s) SELECT slug, survey_index FROM p WHERE slug IN (SELECT council FROM cand WHERE region = 'EUROPE')"""))
 def paired_plan(spark, d):
     c = cand(spark, d)
-    s = c.groupBy(F.col("council").alias("slug")).agg(F.max("at").alias("end"), F.min("at").alias("updated")).withColumn("national", F.col("slug") < "C")
+    s = c.groupBy(F.col("council").alias("slug")).agg(F.max("made").alias("end"), F.min("made").alias("updated")).withColumn("national", F.col("slug") < "C")
     dsm = c.where("region = 'EUROPE'").select(F.col("council").alias("slug")).distinct()
     return catalog.paired_plan(dsm, catalog.source_plan(s, [])).select("slug", F.col("survey_index").cast("long").alias("survey_index"))
 
 
-@C.add("imagery_plan", over("cand", """, s AS (SELECT council AS slug, min(at) AS a, max(at) AS b, lower(council) || ' 0.' || (1 + length(council) % 7) || 'm imagery' AS title FROM cand GROUP BY council),
+@C.add("imagery_plan", over("cand", """, s AS (SELECT council AS slug, min(made) AS a, max(made) AS b, lower(council) || ' 0.' || (1 + length(council) % 7) || 'm imagery' AS title FROM cand GROUP BY council),
   f AS (SELECT *, regexp_extract(title, '(\\d+(?:\\.\\d+)?)\\s*m\\b', 1)::DOUBLE AS gsd FROM s WHERE NOT regexp_matches(title, 'an'))
   SELECT slug, gsd, row_number() OVER (ORDER BY abs((epoch(a)::BIGINT + epoch(b)::BIGINT) / 2 - 852076800), slug) AS place FROM f WHERE gsd <= 0.5"""))
 def imagery_plan(spark, d):
-    c = cand(spark, d).groupBy(F.col("council").alias("slug")).agg(F.min("at").alias("start"), F.max("at").alias("end"))
+    c = cand(spark, d).groupBy(F.col("council").alias("slug")).agg(F.min("made").alias("start"), F.max("made").alias("end"))
     title = F.concat(F.lower("slug"), F.lit(" 0."), (1 + F.length("slug") % 7).cast("string"), F.lit("m imagery"))
     p = catalog.imagery_plan(c.withColumn("title", title), "1997-01-01 00:00:00", "an", 0.5)
     return p.select("slug", "gsd", F.col("place").cast("long").alias("place"))

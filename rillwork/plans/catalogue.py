@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import candidate_queries, kernel_queries, network_queries, point_queries, raster_queries, scalar_queries
+from . import candidate_queries, evaluation_queries, kernel_queries, network_queries, point_queries, raster_queries, scalar_queries
 
-PARTS = [point_queries.C, raster_queries.C, candidate_queries.C, network_queries.C, scalar_queries.C, kernel_queries.C]
+PARTS = [point_queries.C, raster_queries.C, candidate_queries.C, network_queries.C, scalar_queries.C, kernel_queries.C, evaluation_queries.C]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

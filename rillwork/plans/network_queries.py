@@ -45,7 +45,7 @@ def minor_predicate(spark, d):
     return a.select("o", "ln", "u", "length", m.alias("minor"))
 
 
-_SRC = """, a AS (SELECT *, list_filter([CASE WHEN flag = 'A' THEN 'testA' END, CASE WHEN status = 'F' THEN 'gap' END, CASE WHEN ln % 2 = 0 THEN 'road_x_drain' END], x -> x IS NOT NULL) AS src,
+_SRC = """, a AS (SELECT *, list_filter([CASE WHEN flag = 'A' THEN 'testA' END, CASE WHEN status = 'F' THEN 'gap' END, CASE WHEN ln % 2 = 0 THEN 'road_x_drain' END], lambda x: x IS NOT NULL) AS src,
   rise * 10 AS h, prob * 0.7 AS veg, length AS road_m, CASE WHEN ln = 1 THEN NULL ELSE length / 10 END AS deck FROM lnk),
  b AS (SELECT *, list_contains(src, 'road_x_drain') AS rs, road_m <= 15 AS near, list_contains(src, 'gap') AS net, len(src) AS n FROM a),
  c AS (SELECT *, 2 * net::INT + (n >= 2)::INT + 2 * near::INT + rs::INT AS score FROM b)"""

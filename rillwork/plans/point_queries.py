@@ -246,7 +246,7 @@ def snap_nodes(spark, d):
 
 
 _GRID = ", g AS (SELECT id, 1600000 + 1000 * x AS e, 5300000 + 1000 * y AS n FROM pts)"
-_SHEET = f"""substr('{grid.LETTERS}', (((floor((6234000 - n) / 36000) + 16) // 24) + 1)::BIGINT, 1) || substr('{grid.LETTERS}', ((floor((6234000 - n) / 36000) + 16)::BIGINT % 24) + 1, 1)
+_SHEET = f"""substr('{grid.LETTERS}', floor((floor((6234000 - n) / 36000) + 16) / 24)::BIGINT + 1, 1) || substr('{grid.LETTERS}', ((floor((6234000 - n) / 36000) + 16)::BIGINT % 24) + 1, 1)
   || lpad((floor((e - 1012000) / 24000) + 1)::BIGINT::VARCHAR, 2, '0')"""
 
 

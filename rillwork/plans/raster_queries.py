@@ -231,11 +231,11 @@ def code_transitions(spark, d):
 
 
 @C.add("dem_difference", over("ras", """, a AS (SELECT "row", col, z, "row" % 3 AS code FROM ras), b AS (SELECT "row", col, z * 2 AS z FROM ras WHERE col < 50), j AS (SELECT a.code, b.z - a.z AS d FROM a JOIN b USING ("row", col))
-  SELECT code, count(*) AS n, round_even(avg(d), 6) AS mean, quantile_cont(d, 0.05) AS p5, quantile_cont(d, 0.5) AS median, quantile_cont(d, 0.95) AS p95, max(abs(d)) AS max_abs FROM j GROUP BY code"""))
+  SELECT code, count(*) AS n, round_even(avg(d), 6) AS mean, round_even(quantile_cont(d, 0.05), 9) AS p5, round_even(quantile_cont(d, 0.5), 9) AS median, round_even(quantile_cont(d, 0.95), 9) AS p95, max(abs(d)) AS max_abs FROM j GROUP BY code"""))
 def dem_difference(spark, d):
     r = ras(spark, d).withColumn("code", F.col("row") % 3)
     b = r.where("col < 50").withColumn("z", F.col("z") * 2)
-    return compare.difference_stats(r, b, ["row", "col"], "z", "code").withColumn("mean", F.bround("mean", 6))
+    return compare.difference_stats(r, b, ["row", "col"], "z", "code").withColumns({"mean": F.bround("mean", 6), **{c: F.bround(c, 9) for c in ("p5", "median", "p95")}})
 
 
 @C.add("aoi_crop", over("ras", 'SELECT "row", col, z FROM ras WHERE "row" BETWEEN 10 AND 40 AND col BETWEEN 5 AND 20'))

@@ -122,7 +122,7 @@ def axis_difference(spark, d):
     return pts(spark, d).select("id", F.bround(a, 5).alias("d"))
 
 
-@C.add("snapping", over("pts", "SELECT id, floor(x / 8) * 8 AS lo, ceil(x / 8) * 8 AS hi, least(greatest(y, -50), 50) AS c FROM pts"))
+@C.add("snapping", over("pts", "SELECT id, floor(x / 8) * 8 + 0.0 AS lo, ceil(x / 8) * 8 + 0.0 AS hi, least(greatest(y, -50), 50) AS c FROM pts"))
 def snapping(spark, d):
     from .views import pts
 
@@ -211,8 +211,8 @@ def usable_sources(spark, d):
     return catalog.usable_sources(s, (20, 10, 40, 30), ["roads", "x"]).select("id")
 
 
-@C.add("append_log", """WITH l AS (SELECT event_type AS source, sha256(props) AS sha256, ts AS at, event_id AS id FROM events)
-  SELECT source, sha256, min(at) AS at, arg_min(id, {'a': at, 'i': id}) AS id FROM l GROUP BY 1, 2""")
+@C.add("append_log", """WITH l AS (SELECT event_type AS source, sha256(props) AS sha256, ts AS "at", event_id AS id FROM events)
+  SELECT source, sha256, min("at") AS "at", arg_min(id, {'a': "at", 'i': id}) AS id FROM l GROUP BY 1, 2""")
 def append_log(spark, d):
     e = table(spark, d, "events").select(F.col("event_type").alias("source"), F.sha2("props", 256).alias("sha256"), F.col("ts").alias("at"), F.col("event_id").alias("id"))
     return catalog.append_log(e.where("id % 2 = 0"), e.where("id % 2 = 1"))

@@ -41,7 +41,7 @@ def cand(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(r, F.col("n_regionkey") == F.col("r_regionkey"))
         .select(
             F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 20).alias("tile"), F.col("n_name").alias("council"), F.col("r_name").alias("region"),
-            F.col("o_totalprice").alias("score"), y.alias("y"), F.col("o_orderpriority").alias("kind"), F.col("o_orderdate").alias("at"),
+            F.col("o_totalprice").alias("score"), y.alias("y"), F.col("o_orderpriority").alias("kind"), F.col("o_orderdate").alias("made"),
             F.col("o_orderstatus").alias("status"),
         )
     )
@@ -77,7 +77,7 @@ SQL: dict[str, str] = {
     "ras": """SELECT vec_id AS "row", (i - 1)::BIGINT AS col, embedding[i]::DOUBLE AS z
         FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)""",
     "cand": """SELECT o_orderkey AS id, o_custkey % 20 AS tile, n_name AS council, r_name AS region, o_totalprice AS score,
-        CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END AS y, o_orderpriority AS kind, o_orderdate AS at, o_orderstatus AS status
+        CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END AS y, o_orderpriority AS kind, o_orderdate AS made, o_orderstatus AS status
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "prof": "SELECT user_id AS line, event_id AS id, ts, value AS z, event_type AS kind, props FROM events",
     "lnk": """SELECT l_orderkey AS o, l_linenumber AS ln, l_suppkey AS u, l_partkey AS v, l_quantity AS length, l_discount + 0.0 AS rise,
