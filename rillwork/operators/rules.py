@@ -107,7 +107,7 @@ def order_score(tier_n: Column, tier2_n: Column, height: Column) -> Column:
 
 
 def least_distance(*distances: Column, cap: float = 500.0) -> Column:
-    return F.least(*[F.coalesce(d, F.lit(cap)) for d in distances])
+    return F.least(F.lit(cap), *[F.coalesce(d, F.lit(cap)) for d in distances])
 
 
 def tri_state(text: Column) -> Column:
