@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -22,7 +22,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Let the executors import this package, and bound Arrow batches where the session has not chosen already."""
     ship_package(spark)
     for key, value in (
-        ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"),
+        ("spark.sql.execution.arrow.maxRecordsPerBatch", "500"),
         ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20)),
     ):
         if spark.conf.get(key, None) is None:
@@ -58,11 +58,39 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared storage through Spark's own file system layer."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Scratch:
+    """Intermediate tables of one operator in the shared folder, deleted when it has no more use for them."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.tag = spark, tag
+        self.paths: list[tuple[str, str]] = []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(self.spark, f"{self.tag}-{name}")
+        df.write.parquet(path)
+        self.paths.append((name, path))
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def release(self) -> None:
+        """Let the driver collect its garbage now: Spark deletes the shuffle files of plans that nothing refers to."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+    def drop(self, name: str) -> None:
+        for own, path in self.paths:
+            if own == name:
+                remove(self.spark, path)
+        self.paths = [x for x in self.paths if x[0] != name]
+
+    def close(self) -> None:
+        for name in {n for n, _ in self.paths}:
+            self.drop(name)
+
+
 def utf8_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string or binary array without copying; a null has length 0."""
     if isinstance(column, pa.ChunkedArray):

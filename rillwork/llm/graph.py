@@ -22,9 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         step = materialize(step, "cc-step")
+        if step.where("label <> was").isEmpty():
+            return step.select("node", "label")  # no neighbour has a lesser label: all labels are final
         target = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = materialize(step.join(target, "label").select("node", "was", F.least("label", "next").alias("label")), "cc-labels")
-        moved = not new.where("label <> was").isEmpty()
-        labels = new.select("node", "label")
-        if not moved:
-            return labels
+        labels = materialize(step.join(target, "label").select("node", F.least("label", "next").alias("label")), "cc-labels")

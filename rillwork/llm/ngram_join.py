@@ -9,12 +9,15 @@ filters; every surviving pair is verified once on whole texts.
 3. Stars: nodes that share a minimum hash are verified against the group's least node only. This links the bulk of large
    groups of near copies with a number of pairs in proportion to the number of nodes.
 4. Prefix join: only n-grams whose postings lie in two or more of the star components can bring anything new. These
-   postings are joined on the n-gram with the length and positional filters, pairs already connected are skipped, the
-   distinct pairs pass the suffix filter (a bound on the Hamming distance by counts of hash ranges) and are verified.
-   A pair of different components is never skipped, so the components are those of all links.
+   postings are joined on the n-gram with the length and positional filters, and the distinct pairs pass the suffix filter
+   (a bound on the Hamming distance by counts of hash ranges).
+5. Rounds: of the pairs between any two components the most promising ones are verified first; pairs whose components have
+   met since are settled without verification. A pair is passed over only if links already connect it, so the components
+   are those of all links, and no pair is verified twice.
 
 Hot keys: sets, n-grams and star groups are pre-aggregated; a leader with many members is salted; joins are left to
-adaptive execution, which splits hot partitions. Nothing but the fixed counter table comes to the driver.
+adaptive execution, which splits hot partitions. Only tables of fixed size come to the driver: the counters, and bitmaps of
+2^FILTER_BITS bits that spare rows a shuffle in which they would find no partner (a full bitmap spares none and loses none).
 
 Defined cases: null, empty and white-space texts have an empty set and link with nothing (component: their own id); fewer
 words than a shingle: the whole sequence is the one shingle; repeated rows and ids: a component is the least id of its
@@ -23,23 +26,28 @@ rows, null if all are null; extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare, runs, utf8_views
+from .common import Scratch, materialize, prepare, runs, utf8_views
 from .graph import components
 from .textbytes import ASCII_LOWER, RUN, mix, shingle_hashes, word_hashes, word_spans
 
 SIZE = 5
 PERCENT = 75
-BUCKETS = 1 << 16
-STARS = 2
-RANGES = 32
-MEMBERS = 512  # of one star or one pair group in a task
+BUCKETS = 1 << 20
+PIECE = 1 << 12
+STARS = 4
+RANGES = 256
+MEMBERS = 512  # of one leader in a task
+STAR_QUOTAS = (0,)  # first each node's best leader, then all that are not connected by that
+PAIR_QUOTAS = (1, 64)  # first the best pair of any two components, then 64, then all that are left
+FILTER_BITS = 24
 _U = np.uint64
 
 
@@ -73,15 +81,21 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def counters(docs: DataFrame, text: str, size: int) -> np.ndarray:
-    """How many (text, shingle) pairs fall in each of BUCKETS ranges of the hash: the one thing sent to the driver."""
+    """How many (text, shingle) pairs fall in each of BUCKETS ranges of the hash: a table of fixed size on the driver.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Every task adds up its own table and sends it in pieces; the pieces are added as they stream in, so no task holds more
+    than one table.
+    """
+    shift = _U(64 - BUCKETS.bit_length() + 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, waiting, held = np.zeros(BUCKETS, np.int64), [], 0
 
-        def count() -> None:
-            nonlocal total, held
+        def add() -> None:
+            nonlocal held
             if waiting:
-                total = total + np.bincount((np.concatenate(waiting) >> _U(48)).astype(np.int64), minlength=BUCKETS)
+                slot, n = np.unique((np.concatenate(waiting) >> shift).astype(np.int64), return_counts=True)
+                total[slot] += n
                 waiting.clear()
                 held = 0
 
@@ -90,24 +104,38 @@ def counters(docs: DataFrame, text: str, size: int) -> np.ndarray:
                 waiting.append(h)
                 held += len(h)
                 if held > 1 << 18:
-                    count()
-            count()
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["bucket", "n"])
+                    add()
+        add()
+        yield _pieces({k: total[k * PIECE : (k + 1) * PIECE] for k in range(BUCKETS // PIECE) if total[k * PIECE : (k + 1) * PIECE].any()})
 
-    found = docs.select(F.col(text).alias("text")).mapInArrow(work, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, data in zip(batch.column("piece").to_pylist(), batch.column("counts").to_pylist()):
+                own = np.frombuffer(zlib.decompress(data), "<i8")
+                total[k] = total[k] + own if k in total else own.copy()
+        yield _pieces(total)
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = docs.select(F.col(text).alias("text")).mapInArrow(count, "piece int, counts binary").repartition(parts, "piece")
     table = np.zeros(BUCKETS, np.int64)
-    got = found.toArrow()
-    table[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-    return table
+    for row in sent.mapInArrow(merge, "piece int, counts binary").collect():  # BUCKETS counters in all
+        table[row["piece"] * PIECE : (row["piece"] + 1) * PIECE] = np.frombuffer(zlib.decompress(row["counts"]), "<i8")
+    return np.minimum(table, np.iinfo(np.int32).max).astype(np.int32)
+
 
+def _pieces(tables: dict[int, np.ndarray]) -> pa.RecordBatch:
+    data = [zlib.compress(t.astype("<i8").tobytes(), 1) for t in tables.values()]
+    return pa.RecordBatch.from_arrays([pa.array(list(tables), pa.int32()), pa.array(data, pa.binary())], ["piece", "counts"])
 
-def profiles(docs: DataFrame, id_col: str, text: str, size: int, percent: int) -> DataFrame:
+
+def profiles(docs: DataFrame, id_col: str, text: str, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """row, doc_id, mark (hash of the text), n, s1, s2 (hash of the set), prefix (rare first), ranges, keys; stored."""
     table = counters(docs, text, size)
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     seeds = mix(np.arange(1, STARS + 1, dtype=np.uint64)) | _U(1)
+    shift = _U(64 - BUCKETS.bit_length() + 1)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,43 +145,79 @@ def profiles(docs: DataFrame, id_col: str, text: str, size: int, percent: int) -
                 s1.append(np.add.reduce(mix(h ^ _U(0xA5A5)), dtype=_U).astype(np.int64) if len(h) else 0)
                 s2.append(np.add.reduce(mix(h + _U(0x1234567)) * _U(3), dtype=_U).astype(np.int64) if len(h) else 0)
                 keys.append([int((h * s).min().astype(np.int64)) for s in seeds] if len(h) else [])
-                order = np.lexsort((h, table[(h >> _U(48)).astype(np.int64)]))[: prefix_length(len(h), percent)] if len(h) else []
+                order = np.lexsort((h, table[(h >> shift).astype(np.int64)]))[: prefix_length(len(h), percent)] if len(h) else []
                 prefix.append(h[order].astype(np.int64))
-                ranges.append(np.bincount((h & _U(RANGES - 1)).astype(np.int64), minlength=RANGES).astype(np.int32))
+                ranges.append(np.minimum(np.bincount((h & _U(RANGES - 1)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes())
             size_of = np.array([len(p) for p in prefix], np.int32)
             flat = pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64), pa.int64())
             listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size_of)), pa.int32()), flat)
-            counts = pa.array(np.concatenate(ranges) if ranges else np.zeros(0, np.int32), pa.int32())
-            ranged = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * RANGES, pa.int32()), counts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64())), listed, ranged],
+                 pa.array(keys, pa.list_(pa.int64())), listed, pa.array(ranges, pa.binary())],
                 ["doc_id", "mark", "n", "s1", "s2", "keys", "prefix", "ranges"],
             )
 
-    out = source.mapInArrow(work, f"doc_id {kind}, mark long, n int, s1 long, s2 long, keys array<long>, prefix array<long>, ranges array<int>")
-    return materialize(out.withColumn("row", F.monotonically_increasing_id()), "jaccard-profiles")
+    out = source.mapInArrow(work, f"doc_id {kind}, mark long, n int, s1 long, s2 long, keys array<long>, prefix array<long>, ranges binary")
+    return scratch.keep(out.withColumn("row", F.monotonically_increasing_id()), "profiles")
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """A 2^FILTER_BITS-bit set of the low bits of `key`, as 64-bit words: of fixed size however many keys there are."""
+    low = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = keys.select(F.shiftright(low, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
+    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[got.column("w").to_numpy()] = got.column("b").to_numpy().astype(np.uint64)
+    return out
+
+
+def in_bitmap(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    low = keys.astype(np.uint64) & _U((1 << FILTER_BITS) - 1)
+    return (words[(low >> _U(6)).astype(np.int64)] >> (low & _U(63))) & _U(1) == 1
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text: str, size: int, percent: int) -> DataFrame:
+def only(table: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The table without most rows whose column is not among the keys (`key`), so that they are not shuffled to a join."""
+    words = bitmap(keys.select(F.xxhash64("key").alias("key")))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = in_bitmap(words, batch.column(batch.num_columns - 1).to_numpy())
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(hit))
+
+    return table.withColumn("__key", F.xxhash64(column)).mapInArrow(work, table.schema)
+
+
+def fetch(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text: str, scratch: Scratch) -> DataFrame:
+    """node, text (packed) for the nodes in `wanted` (node, distinct), by id and text hash. A repeated row brings its text twice."""
+    where = scratch.keep(nodes.select("node", "doc_id", "mark").join(wanted, "node"), "where")
+    source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [zlib.compress(cell.as_buffer(), 1) if cell.is_valid else None for cell in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(data, pa.binary())], ["doc_id", "mark", "text"])
+
+    kind = source.schema["doc_id"].dataType.simpleString()
+    d = only(source, "mark", where.select(F.col("mark").alias("key"))).mapInArrow(pack, f"doc_id {kind}, mark long, text binary").alias("d")
+    joined = d.join(where.alias("w"), (F.col("d.mark") == F.col("w.mark")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
+    out = scratch.keep(joined.select("w.node", "d.text"), "texts")
+    scratch.release()
+    return out
+
+
+def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """pairs: distinct u, v (nodes). The pairs that link, by whole texts.
 
-    The texts of the nodes that occur are fetched by (id, text hash). Members are dealt with their leader v, whose text
-    comes first in its group; leaders with many members are split into salted groups of about MEMBERS.
+    Members are dealt with their leader v, whose text comes first in its group; leaders with many members are split into
+    salted groups of about MEMBERS.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = pairs.groupBy("v").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
-    groups = materialize(groups, "jaccard-groups")
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = scratch.keep(pairs.groupBy("v").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts")), "groups")
     dealt = pairs.join(groups, "v").select("v", F.pmod(F.xxhash64("u"), "salts").cast("int").alias("salt"), F.col("u").alias("node"))
     lead = groups.select("v", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("v").alias("node"))
-    wanted = materialize(dealt.unionByName(lead), "jaccard-wanted")
-    where = nodes.join(wanted.select("node").distinct(), "node").select("node", "doc_id", "mark")
-    source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")).alias("d")
-    found = source.join(
-        materialize(where, "jaccard-where").alias("w"), (F.col("d.mark") == F.col("w.mark")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
-    ).select("w.node", "d.text")
-    # a repeated row (same id, same text) would bring its text twice; the second is passed over below
+    wanted = scratch.keep(dealt.unionByName(lead), "wanted")
+    found = only(texts, "node", wanted.select(F.col("node").alias("key")))
     rows = wanted.join(found, "node").select("v", "salt", (F.col("node") != F.col("v")).alias("member"), "node", "text")
     rows = rows.repartition(parts, "v", "salt").sortWithinPartitions("v", "salt", "member", "node")
 
@@ -162,7 +226,8 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, tex
         for batch in batches:
             v, salt, member, node = (batch.column(c).to_pylist() for c in ("v", "salt", "member", "node"))
             us, vs = [], []
-            for i, own in enumerate(text_sets(batch.column("text"), size)):
+            texts = pa.array([zlib.decompress(x) for x in batch.column("text").to_pylist()], pa.binary())
+            for i, own in enumerate(text_sets(texts, size)):
                 if (v[i], salt[i]) != group:
                     group, leader, last = (v[i], salt[i]), None, None
                 if not member[i]:
@@ -173,7 +238,41 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, tex
                 last = node[i]
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    return materialize(rows.mapInArrow(work, "u long, v long"), "jaccard-links")
+    out = scratch.keep(rows.mapInArrow(work, "u long, v long"), "links")
+    scratch.release()
+    return out
+
+
+def labelled(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs whose ends are not connected yet, with their components lu and lv."""
+    u, v = known.select(F.col("node").alias("u"), F.col("label").alias("lu")), known.select(F.col("node").alias("v"), F.col("label").alias("lv"))
+    j = pairs.join(u, "u", "left").join(v, "v", "left").withColumns({"lu": F.coalesce("lu", "u"), "lv": F.coalesce("lv", "v")})
+    return j.where("lu <> lv")
+
+
+def settle(pairs: DataFrame, links: DataFrame | None, known: DataFrame, texts: DataFrame, size: int, percent: int, quotas: tuple, scratch: Scratch):
+    """Verify pairs (u, v, c: how promising) in rounds until every pair is verified or connected. Returns links and components.
+
+    quotas: pairs of two components in each round; then all that are left are verified.
+    """
+    best = Window.partitionBy(F.least("lu", "lv"), F.greatest("lu", "lv")).orderBy(F.desc("c"), "u", "v")
+    own = Window.partitionBy("u").orderBy(F.desc("c"), "v")
+    for quota in (*quotas, None):
+        ranked = labelled(pairs, known)
+        if quota is None:
+            ranked = ranked.withColumn("now", F.lit(True))
+        elif quota == 0:  # one pair a node
+            ranked = ranked.withColumn("now", F.row_number().over(own) == 1)
+        else:
+            ranked = ranked.withColumn("now", F.row_number().over(best) <= quota)
+        ranked = scratch.keep(ranked.select("u", "v", "c", "now"), "ranked")
+        if ranked.isEmpty():
+            break
+        new = verify(ranked.where("now").select("u", "v"), texts, size, percent, scratch)
+        links = new if links is None else links.unionByName(new)
+        known = components(links)
+        pairs = ranked.where("not now").select("u", "v", "c")
+    return links, known
 
 
 def _may_link(n, m, percent: int):
@@ -183,54 +282,103 @@ def _may_link(n, m, percent: int):
 
 
 def passes_ranges(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The suffix filter: |a - b| + |b - a| is at least the summed differences of the counts in fixed hash ranges, and at
-    most n + m - 2 * least overlap for a link."""
-    a = nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("ranges").alias("ru"))
-    b = nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("ranges").alias("rv"))
-    apart = F.aggregate(F.zip_with("ru", "rv", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    room = F.col("nu") + F.col("nv") - 2 * _may_link(F.col("nu"), F.col("nv"), percent)
-    return pairs.join(a, "u").join(b, "v").where(apart <= room).select("u", "v")
+    """The suffix filter on pairs (u, v, c): |a - b| + |b - a| is at least the summed differences of the counts in fixed hash
+    ranges (counts over 255 stand for 255, which only lowers the sum), and at most n + m - 2 * least overlap for a link."""
+    own = only(nodes.select("node", "n", "ranges"), "node", pairs.select(F.explode(F.array("u", "v")).alias("key")))
+    a = own.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("ranges").alias("ru"))
+    b = own.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("ranges").alias("rv"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("nu", "nv"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int16) for c in ("ru", "rv"))
+            room = n + m - 2 * least_overlap(n, m, percent)
+            yield batch.select(["u", "v", "c"]).filter(pa.array(np.abs(x - y).sum(1) <= room))
+
+    return pairs.join(a, "u").join(b, "v").mapInArrow(work, "u long, v long, c long")
+
+
+def _gram_rows(nodes: DataFrame, words: np.ndarray) -> DataFrame:
+    """node, n, label, pos, gram of the prefix n-grams in the bitmap."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("prefix")
+            grams = np.asarray(lists.flatten())
+            count = np.diff(np.asarray(lists.offsets))
+            row = np.repeat(np.arange(len(count)), count)
+            pos = np.arange(len(grams)) - np.repeat(np.cumsum(count) - count, count)
+            hit = in_bitmap(words, grams)
+            take = pa.array(row[hit])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node").take(take), batch.column("n").take(take), batch.column("label").take(take), pa.array(pos[hit].astype(np.int32)), pa.array(grams[hit])],
+                ["node", "n", "label", "pos", "gram"],
+            )
+
+    return nodes.select("node", "n", "label", "prefix").mapInArrow(work, "node long, n int, label long, pos int, gram long")
 
 
 def linked_rows(docs: DataFrame, id_col: str, text: str, size: int, percent: int) -> DataFrame:
     """One row a document: doc_id, mark, n, label (the class; null without words), component_id."""
-    prepare(docs.sparkSession)
-    rows = profiles(docs, id_col, text, size, percent)
-    full = rows.where("n > 0")
-    least = materialize(full.groupBy("s1", "s2", "n").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id")), "jaccard-sets")
-    nodes = full.join(least.select("node"), full["row"] == F.col("node")).select("node", "doc_id", "mark", "n", "prefix", "ranges", "keys")
-    nodes = materialize(nodes, "jaccard-nodes")
+    spark = prepare(docs.sparkSession)
+    scratch = Scratch(spark, "jaccard")
+    wide = profiles(docs, id_col, text, size, percent, scratch)
+    full = wide.where("n > 0")
+    least = scratch.keep(full.groupBy("s1", "s2", "n").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies")), "sets")
+    # the rows that are not their set's first: few, so the wide rows are not shuffled where that list is small
+    repeated = full.select("row", "s1", "s2", "n").join(least.where("copies > 1").select("s1", "s2", "n", "node"), ["s1", "s2", "n"]).where("row <> node").select("row")
+    nodes = full.join(scratch.keep(repeated, "repeated"), "row", "left_anti").withColumnRenamed("row", "node").select("node", "doc_id", "mark", "n", "prefix", "ranges", "keys")
+    nodes = scratch.keep(nodes, "nodes")
+    rows = materialize(wide.select("doc_id", "mark", "n", "s1", "s2"), "jaccard-rows")
+    scratch.drop("profiles")
+    scratch.release()
+    ranges = nodes.select("node", "n", "ranges")
 
     # stars
     keyed = nodes.select("node", F.posexplode("keys").alias("k", "key"))
     leaders = keyed.groupBy("k", "key").agg(F.min("node").alias("v"), F.count("*").alias("c")).where("c > 1").select("k", "key", "v")
-    stars = keyed.join(materialize(leaders, "jaccard-leaders"), ["k", "key"]).where("node <> v").select(F.col("node").alias("u"), "v").distinct()
-    stars = materialize(passes_ranges(stars, nodes.select("node", "n", "ranges"), percent), "jaccard-stars")
-    links = verify(stars, nodes, docs, id_col, text, size, percent)
-    known = components(links)
+    stars = keyed.join(scratch.keep(leaders, "leaders"), ["k", "key"]).where("node <> v").groupBy(F.col("node").alias("u"), "v").agg(F.count("*").alias("c"))
+    stars = scratch.keep(passes_ranges(stars, ranges, percent), "stars")
+    texts = fetch(stars.select(F.explode(F.array("u", "v")).alias("node")).distinct(), nodes, docs, id_col, text, scratch)
+    none = spark.createDataFrame([], "node long, label long")
+    links, known = settle(stars, None, none, texts, size, percent, STAR_QUOTAS, scratch)
+    scratch.drop("texts")
 
     # prefix join between different components
-    grams = nodes.join(known, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), F.posexplode("prefix").alias("pos", "gram"))
-    mixed = grams.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
-    postings = materialize(grams.join(materialize(mixed, "jaccard-mixed"), "gram"), "jaccard-postings")
+    named = nodes.select("node", "n", "prefix").join(known, "node", "left").select("node", "n", "prefix", F.coalesce("label", "node").alias("label"))
+    grams = named.select("label", F.explode("prefix").alias("gram")).groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    mixed = scratch.keep(grams.where("low <> high").select("gram"), "mixed")
+    scratch.release()
+    words = bitmap(mixed.select(F.col("gram").alias("key")))
+    postings = scratch.keep(_gram_rows(named, words).join(mixed, "gram"), "postings")
     a = postings.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "label", "pos")])
     b = postings.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "label", "pos")])
-    overlap = _may_link(F.col("n_a"), F.col("n_b"), percent)
     near = (
         (F.struct("n_a", "node_a") < F.struct("n_b", "node_b"))
         & (F.col("label_a") != F.col("label_b"))
         & (100 * F.col("n_a").cast("long") >= percent * F.col("n_b").cast("long"))
-        & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= overlap)
+        & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= _may_link(F.col("n_a"), F.col("n_b"), percent))
     )
-    found = a.join(b, "gram").where(near).select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct()
-    found = materialize(passes_ranges(materialize(found, "jaccard-pairs"), nodes.select("node", "n", "ranges"), percent), "jaccard-candidates")
-    links = links.unionByName(verify(found, nodes, docs, id_col, text, size, percent))
+    # n-grams shared before one that passes `near` stand earlier in both texts and pass too, so c counts all that are shared
+    # up to the last one found, and only what follows it is unknown
+    matches = a.join(b, "gram").where(near).groupBy(F.col("node_a").alias("u"), F.col("node_b").alias("v")).agg(
+        F.count("*").alias("c"), F.first("n_a").alias("nu"), F.first("n_b").alias("nv"),
+        F.least(F.first("n_a") - F.max("pos_a"), F.first("n_b") - F.max("pos_b")).alias("from_last"),
+    )
+    need = _may_link(F.col("nu"), F.col("nv"), percent)
+    found = matches.where(F.col("c") + F.col("from_last") - 1 >= need).select("u", "v", "c")
+    found = scratch.keep(passes_ranges(scratch.keep(found, "pairs"), ranges, percent), "candidates")
+    scratch.drop("postings")
+    scratch.drop("pairs")
+    scratch.release()
+    texts = fetch(found.select(F.explode(F.array("u", "v")).alias("node")).distinct(), nodes, docs, id_col, text, scratch)
+    links, known = settle(found, links, known, texts, size, percent, PAIR_QUOTAS, scratch)
+    scratch.drop("texts")
 
-    known = components(links)
     classes = least.join(known, "node", "left").select("s1", "s2", "n", "least_id", F.coalesce("label", "node").alias("label"))
-    classes = materialize(classes, "jaccard-classes")
     smallest = classes.groupBy("label").agg(F.min("least_id").alias("component_id"))
     classes = materialize(classes.join(smallest, "label").select("s1", "s2", "n", "label", "component_id"), "jaccard-components")
+    scratch.close()
     return (
         rows.select("doc_id", "mark", "n", "s1", "s2")
         .join(classes, ["s1", "s2", "n"], "left")
