@@ -76,12 +76,8 @@ def pack(nodes: DataFrame) -> DataFrame:
 
 
 def centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
-    """Spherical k-means, started from rows that are far from those chosen before."""
-    chosen, far = [0], np.full(len(x), np.inf)
-    for _ in range(1, k):
-        far = np.minimum(far, 1 - x @ x[chosen[-1]])
-        chosen.append(int(far.argmax()))
-    c = x[chosen]
+    """Spherical k-means from k rows picked at random (seeded), so that a dense clump gets its share of centres and splits."""
+    c = x[np.sort(np.random.default_rng(len(x)).choice(len(x), k, replace=False))].copy()
     for _ in range(rounds):
         own = (x @ c.T).argmax(1)
         for j in range(k):
@@ -109,7 +105,8 @@ def deal(packed: DataFrame, overlap: int, cell_max: int = CELL_MAX, cell_aim: in
         def learn(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("node").head(SAMPLE)
             dim = len(pdf["x"].iloc[0]) // 8
-            k = int(min(max(2, -(-int(pdf["count"].iloc[0]) // cell_aim)), 64, len(pdf)))
+            # twice as many centres as cells a node goes to at least, so that every split makes cells smaller
+            k = int(min(max(2 * overlap, -(-overlap * int(pdf["count"].iloc[0]) // cell_aim)), 64, len(pdf)))
             return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "centres": [centres(unit_rows(list(pdf["x"]), dim), k).astype("<f8").tobytes()]})
 
         learned = materialize(picked.groupBy("cell").applyInPandas(learn, "cell string, centres binary"), "emb-centres")
