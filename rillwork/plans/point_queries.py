@@ -108,7 +108,7 @@ def facing_pairs(spark, d):
     return near.facing_pairs(pts(spark, d), 40.0, 0.7).select("a_id", "b_id")
 
 
-_LABELS = f""", lab AS (SELECT id, x, y, CASE WHEN kind IN (1, 3) THEN 30.0 ELSE 20.0 END AS radius, kind AS priority, CASE WHEN kind < 6 THEN 1 ELSE 0 END AS value
+_LABELS = f""", lab AS (SELECT id, x, y, CASE WHEN kind IN (1, 3) THEN 30.0::DOUBLE ELSE 20.0 END AS radius, kind AS priority, CASE WHEN kind < 6 THEN 1 ELSE 0 END AS value
   FROM pts WHERE {ODD}), can AS (SELECT id, x, y FROM pts WHERE {EVEN}),
  best AS (SELECT a.id AS label_id, b.id, {_D} AS dist, a.priority, a.value, row_number() OVER (PARTITION BY a.id ORDER BY {_D}, b.id) AS k
   FROM lab a JOIN can b ON {_D} <= a.radius),
