@@ -243,35 +243,37 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int, scratch:
     return out
 
 
-def labelled(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs whose ends are not connected yet, with their components lu and lv."""
-    u, v = known.select(F.col("node").alias("u"), F.col("label").alias("lu")), known.select(F.col("node").alias("v"), F.col("label").alias("lv"))
-    j = pairs.join(u, "u", "left").join(v, "v", "left").withColumns({"lu": F.coalesce("lu", "u"), "lv": F.coalesce("lv", "v")})
-    return j.where("lu <> lv")
-
-
-def settle(pairs: DataFrame, links: DataFrame | None, known: DataFrame, texts: DataFrame, size: int, percent: int, quotas: tuple, scratch: Scratch):
-    """Verify pairs (u, v, c: how promising) in rounds until every pair is verified or connected. Returns links and components.
-
-    quotas: pairs of two components in each round; then all that are left are verified.
-    """
+def reopen(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (u, v, c, lu, lv) whose components are still apart, under their present names. Names are looked up once for
+    two components, not for each pair, so pairs that are connected by now cost no join rows."""
+    both = pairs.select("lu", "lv").distinct()
+    u, v = known.select(F.col("node").alias("lu"), F.col("label").alias("nu")), known.select(F.col("node").alias("lv"), F.col("label").alias("nv"))
+    named = both.join(u, "lu", "left").join(v, "lv", "left").select("lu", "lv", F.coalesce("nu", "lu").alias("nu"), F.coalesce("nv", "lv").alias("nv"))
+    return pairs.join(named.where("nu <> nv"), ["lu", "lv"]).select("u", "v", "c", F.col("nu").alias("lu"), F.col("nv").alias("lv"))
+
+
+def settle(pairs: DataFrame, links: DataFrame | None, known: DataFrame | None, nodes: DataFrame, docs: DataFrame, id_col: str, text: str, size: int, percent: int, quotas: tuple, scratch: Scratch):
+    """Filter and verify pairs (u, v, c: how promising, lu and lv: components) in rounds until every pair is decided or
+    connected. quotas: pairs of two components in each round; then all that are left. Returns links and components."""
     best = Window.partitionBy(F.least("lu", "lv"), F.greatest("lu", "lv")).orderBy(F.desc("c"), "u", "v")
     own = Window.partitionBy("u").orderBy(F.desc("c"), "v")
     for quota in (*quotas, None):
-        ranked = labelled(pairs, known)
         if quota is None:
-            ranked = ranked.withColumn("now", F.lit(True))
+            ranked = pairs.withColumn("now", F.lit(True))
         elif quota == 0:  # one pair a node
-            ranked = ranked.withColumn("now", F.row_number().over(own) == 1)
+            ranked = pairs.withColumn("now", F.row_number().over(own) == 1)
         else:
-            ranked = ranked.withColumn("now", F.row_number().over(best) <= quota)
-        ranked = scratch.keep(ranked.select("u", "v", "c", "now"), "ranked")
+            ranked = pairs.withColumn("now", F.row_number().over(best) <= quota)
+        ranked = scratch.keep(ranked.select("u", "v", "c", "lu", "lv", "now"), "ranked")
         if ranked.isEmpty():
             break
-        new = verify(ranked.where("now").select("u", "v"), texts, size, percent, scratch)
+        chosen = scratch.keep(passes_ranges(ranked.where("now").select("u", "v", "c"), nodes.select("node", "n", "ranges"), percent), "chosen")
+        texts = fetch(chosen.select(F.explode(F.array("u", "v")).alias("node")).distinct(), nodes, docs, id_col, text, scratch)
+        new = verify(chosen.select("u", "v"), texts, size, percent, scratch)
+        scratch.drop("texts")
         links = new if links is None else links.unionByName(new)
         known = components(links)
-        pairs = ranked.where("not now").select("u", "v", "c")
+        pairs = reopen(ranked.where("not now").select("u", "v", "c", "lu", "lv"), known)
     return links, known
 
 
@@ -332,17 +334,15 @@ def linked_rows(docs: DataFrame, id_col: str, text: str, size: int, percent: int
     rows = materialize(wide.select("doc_id", "mark", "n", "s1", "s2"), "jaccard-rows")
     scratch.drop("profiles")
     scratch.release()
-    ranges = nodes.select("node", "n", "ranges")
 
     # stars
     keyed = nodes.select("node", F.posexplode("keys").alias("k", "key"))
     leaders = keyed.groupBy("k", "key").agg(F.min("node").alias("v"), F.count("*").alias("c")).where("c > 1").select("k", "key", "v")
     stars = keyed.join(scratch.keep(leaders, "leaders"), ["k", "key"]).where("node <> v").groupBy(F.col("node").alias("u"), "v").agg(F.count("*").alias("c"))
-    stars = scratch.keep(passes_ranges(stars, ranges, percent), "stars")
-    texts = fetch(stars.select(F.explode(F.array("u", "v")).alias("node")).distinct(), nodes, docs, id_col, text, scratch)
-    none = spark.createDataFrame([], "node long, label long")
-    links, known = settle(stars, None, none, texts, size, percent, STAR_QUOTAS, scratch)
-    scratch.drop("texts")
+    stars = scratch.keep(stars.select("u", "v", "c", F.col("u").alias("lu"), F.col("v").alias("lv")), "stars")
+    links, known = settle(stars, None, None, nodes, docs, id_col, text, size, percent, STAR_QUOTAS, scratch)
+    if known is None:
+        known = spark.createDataFrame([], "node long, label long")
 
     # prefix join between different components
     named = nodes.select("node", "n", "prefix").join(known, "node", "left").select("node", "n", "prefix", F.coalesce("label", "node").alias("label"))
@@ -362,18 +362,14 @@ def linked_rows(docs: DataFrame, id_col: str, text: str, size: int, percent: int
     # n-grams shared before one that passes `near` stand earlier in both texts and pass too, so c counts all that are shared
     # up to the last one found, and only what follows it is unknown
     matches = a.join(b, "gram").where(near).groupBy(F.col("node_a").alias("u"), F.col("node_b").alias("v")).agg(
-        F.count("*").alias("c"), F.first("n_a").alias("nu"), F.first("n_b").alias("nv"),
+        F.count("*").alias("c"), F.first("n_a").alias("nu"), F.first("n_b").alias("nv"), F.first("label_a").alias("lu"), F.first("label_b").alias("lv"),
         F.least(F.first("n_a") - F.max("pos_a"), F.first("n_b") - F.max("pos_b")).alias("from_last"),
     )
     need = _may_link(F.col("nu"), F.col("nv"), percent)
-    found = matches.where(F.col("c") + F.col("from_last") - 1 >= need).select("u", "v", "c")
-    found = scratch.keep(passes_ranges(scratch.keep(found, "pairs"), ranges, percent), "candidates")
+    found = scratch.keep(matches.where(F.col("c") + F.col("from_last") - 1 >= need).select("u", "v", "c", "lu", "lv"), "pairs")
     scratch.drop("postings")
-    scratch.drop("pairs")
     scratch.release()
-    texts = fetch(found.select(F.explode(F.array("u", "v")).alias("node")).distinct(), nodes, docs, id_col, text, scratch)
-    links, known = settle(found, links, known, texts, size, percent, PAIR_QUOTAS, scratch)
-    scratch.drop("texts")
+    links, known = settle(found, links, known, nodes, docs, id_col, text, size, percent, PAIR_QUOTAS, scratch)
 
     classes = least.join(known, "node", "left").select("s1", "s2", "n", "least_id", F.coalesce("label", "node").alias("label"))
     smallest = classes.groupBy("label").agg(F.min("least_id").alias("component_id"))
@@ -401,9 +397,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size:
     counted = rows.groupBy("label", "doc_id", "mark", (F.col("n") == 0).alias("bare")).agg(F.count("*").alias("c"))
     best = counted.where("not bare").groupBy("label").agg(F.min(F.struct("doc_id", "mark", "c")).alias("m")).select("m.*", F.lit(False).alias("bare"))
     kept = best.unionByName(counted.where("bare").select("doc_id", "mark", "c", "bare"))
-    kept = materialize(kept.select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "mark", "c", "bare")]), "jaccard-kept")
-    marked = docs.withColumn("__text", F.xxhash64(text))
-    joined = marked.join(kept, (F.col("__text") == F.col("__mark")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__doc_id")))
-    single = F.col("__bare") | (F.col("__c") == 1)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return joined.where(single).select(*columns).unionByName(joined.where(~single).dropDuplicates(["__doc_id", "__mark"]).select(*columns))
+    kept = materialize(kept.select("doc_id", "mark", "c", "bare"), "jaccard-kept").alias("k")
+    d = docs.alias("d")
+    joined = d.join(kept, (F.xxhash64(F.col(f"d.`{text}`")) == F.col("k.mark")) & F.col(f"d.`{id_col}`").eqNullSafe(F.col("k.doc_id")))
+    rows = joined.select(F.struct(*[F.col(f"d.`{c}`") for c in docs.columns]).alias("row"), "k.doc_id", "k.mark", (F.col("k.bare") | (F.col("k.c") == 1)).alias("single"))
+    once = rows.where(~F.col("single")).dropDuplicates(["doc_id", "mark"])
+    return rows.where("single").select("row.*").unionByName(once.select("row.*"))
