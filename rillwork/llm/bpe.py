@@ -33,7 +33,7 @@ from .common import prepare
 # Fixed value: the splitting pattern of the tokenizer's byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG = 256
-KEPT = 300_000
+KEPT = 200_000  # pieces, and as many words, while a task runs
 CHUNK = 1 << 16
 _NEVER = 1 << 60
 
@@ -62,9 +62,10 @@ class Merges:
             self.form[c], self.left[c], self.right[c], self.rank[a, b] = r, a, b, r
         self.id_of = {b: t for t, b in tokens.items() if len(b) == 1 or self.form[t] >= 0}
         self.longest = max(map(len, self.id_of), default=1)
-        self.suffixes = {b[k:] for b in self.id_of for k in range(len(b))}
+        # every suffix of a token, with the token that it is or -1
+        self.tails = {b[k:]: -1 for b in self.id_of for k in range(len(b))} | self.id_of
         self.prefixes = {b[: k + 1] for b in self.id_of for k in range(len(b))}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}  # left id << 32 | right id
 
     @property
     def lookahead(self) -> int:
@@ -90,9 +91,6 @@ class Merges:
     def compatible(self, a: int, b: int) -> bool:
         """Whether the encoding of a's bytes and b's bytes is a, b: walking both derivations back from the border, no rule
         joins two tokens that stand at the border at the same time. Of equal rules the left one goes first."""
-        known = self._pairs.get((a, b))
-        if known is not None:
-            return known
         form, rank = self.form, self.rank
         x, y, x_ends, y_ends, out = a, b, _NEVER, _NEVER, True
         while True:
@@ -107,30 +105,31 @@ class Merges:
                 x_ends, x = fx, self.right[x]
             if fy >= fx:
                 y_ends, y = fy, self.left[y]
-        if len(self._pairs) > 1 << 20:
+        if len(self._pairs) > 1 << 17:
             self._pairs.clear()
-        self._pairs[a, b] = out
+        self._pairs[a << 32 | b] = out
         return out
 
     def last_tokens(self, data: bytes, last: list[int], start: int) -> None:
         """Extend last (last[i]: the token that ends the encoding of the first i bytes; last[0]: the one before, or -1)
         over data[start:]."""
-        id_of, suffixes, compatible = self.id_of, self.suffixes, self.compatible
+        tail, known, compatible = self.tails.get, self._pairs.get, self.compatible
         for end in range(start + 1, len(data) + 1):
             begin = end - 1
-            chosen = -1
-            while begin >= 0:
-                piece = data[begin:end]
-                if piece not in suffixes:
-                    break
-                token = id_of.get(piece)
-                if token is not None and (last[begin] < 0 or compatible(last[begin], token)):
-                    chosen = token
-                    break
+            token = tail(data[begin:end])
+            while token is not None:
+                if token >= 0:
+                    before = last[begin]
+                    if before < 0:
+                        break
+                    fits = known(before << 32 | token)
+                    if fits or fits is None and compatible(before, token):
+                        break
                 begin -= 1
-            if chosen < 0:
+                token = tail(data[begin:end]) if begin >= 0 else None
+            if token is None:
                 raise ValueError(f"byte {data[end - 1]} has no token")
-            last.append(chosen)
+            last.append(token)
 
     def encode_word(self, data: bytes) -> list[int]:
         last = [-1]
@@ -190,16 +189,20 @@ class Transducer:
 
 
 class _Pieces(dict):
-    """Encodings of pieces as little-endian 32-bit ids, made when first asked for; emptied when it holds KEPT of them."""
+    """Encodings of pieces as little-endian 32-bit ids, made when first asked for. When KEPT of them are there they become
+    the old generation and the one before is dropped, so what is asked for often stays and at most 2 * KEPT are held."""
 
     def __init__(self, encode, kept: int = KEPT):
         super().__init__()
-        self.encode, self.kept = encode, kept
+        self.encode, self.kept, self.old = encode, kept, {}
 
     def __missing__(self, piece: str) -> bytes:
-        out = self.encode(piece)
+        out = self.old.get(piece)
+        if out is None:
+            out = self.encode(piece)
         if len(piece) <= LONG:
             if len(self) >= self.kept:
+                self.old = dict(self)
                 self.clear()
             self[piece] = out
         return out
@@ -355,6 +358,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text: s
         for batch in batches:
             ids = [t.encode(cell.as_py()) for cell in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        load.cache_clear()  # workers are reused, and other operators need the memory
 
     return source.mapInArrow(work, f"doc_id {kind}, ids binary")
 
@@ -391,6 +395,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "tex
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(own, pa.string()), pa.array(back, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        load.cache_clear()  # workers are reused, and other operators need the memory
 
     return source.mapInArrow(work, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -406,5 +411,6 @@ def token_lengths(docs: DataFrame, path: str, text: str = "text", keep: tuple[st
         for batch in batches:
             n = pa.array([len(t.encode(cell.as_py())) // 4 for cell in batch.column("__text")], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), n], [*keep, "n_tokens"])
+        load.cache_clear()  # workers are reused, and other operators need the memory
 
     return source.mapInArrow(work, ddl)
