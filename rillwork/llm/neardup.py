@@ -2,15 +2,19 @@
 
 1. Equal vectors of a label are one node with a count, so exact copies cost nothing further.
 2. Nodes are dealt to cluster cells: a cell over CELL_MAX nodes is split by k-means centres of a bounded sample (SAMPLE
-   rows of the cell), each node going to its OVERLAP nearest centres, until every cell fits.
+   rows of the cell), each node going to its OVERLAP nearest centres, until every cell fits. Centres whose sample rows
+   link with each other (CLUMP of the pairs or more) stay one cell; one that centres do not make smaller is a clump of near
+   copies. It stays over CELL_MAX nodes and is compared exactly, in pairs of blocks, each a task of its own.
 3. In each cell every node gets neighbours by robust pruning of its nearest candidates and some random ones, with edges
    both ways; the adjacency lists that a node got in its cells are united.
 4. Each node is searched for in its cells: greedily from the cell's medoids, then, from every node in range, through all
    neighbours that are in range too, until no more are found. Links are verified in double precision.
 5. A pair that shares several cells is counted in the first of them only, so links are counted without listing pairs; a
-   cell hands on one edge a node (to its local root), and components join these.
-6. Recall is audited: AUDIT nodes are compared with all nodes by brute force in blocks. Below `recall`, everything is done
-   again with more overlap; after the last try the shortfall is an error, never silent.
+   cell hands on one edge a node (to its local root), and components join these. Clumps come before other cells.
+6. Recall is audited: AUDIT nodes of every label over CELL_MAX nodes, and AUDIT of all smaller ones, are compared with all
+   nodes of their label by brute force in blocks, and the least share counts (labels with fewer than AUDIT true links are
+   judged together). Below `recall`, everything is done again with more overlap; after the last try the shortfall is an
+   error, never silent.
 
 Defined cases: a null label, a null, empty or zero vector, and one with null or non-finite components links with nothing;
 vectors of different length never link; repeated ids: a component is the least id of its rows, null if all are null; an
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, prepare
@@ -40,6 +44,8 @@ DEGREE = 16
 ALPHA = 1.2
 BEAM = 16
 AUDIT = 256
+CLUMP = 0.1
+STUCK = 0.75
 
 
 def unit_rows(packed: list[bytes], dim: int) -> np.ndarray:
@@ -89,8 +95,26 @@ def centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def deal(packed: DataFrame, overlap: int, cell_max: int = CELL_MAX, cell_aim: int = CELL_AIM) -> DataFrame:
-    """node, cell, x, copies with cells of at most cell_max rows; a node is in `overlap` cells of each split."""
+def unite(x: np.ndarray, c: np.ndarray, threshold: float) -> np.ndarray:
+    """Group of every centre: centres are one group if CLUMP or more of the pairs between their rows are in range."""
+    own = (x @ c.T).argmax(1)
+    home = np.eye(len(c))[own]
+    linked = np.zeros((len(c), len(c)))
+    for start in range(0, len(x), 512):
+        hits = (x[start : start + 512] @ x.T >= threshold).astype(np.float64)
+        linked += home[start : start + 512].T @ (hits @ home)
+    size = home.sum(0)
+    return np.unique(spread(linked >= CLUMP * np.maximum(np.outer(size, size), 1)), return_inverse=True)[1]
+
+
+def nearest_groups(sims: np.ndarray, groups: np.ndarray, overlap: int) -> np.ndarray:
+    """The `overlap` groups with the nearest centres, a row of sims each."""
+    best = np.stack([sims[:, groups == g].max(1) for g in range(groups.max() + 1)], 1)
+    return np.argsort(-best, axis=1, kind="stable")[:, :overlap]
+
+
+def deal(packed: DataFrame, overlap: int, cell_max: int = CELL_MAX, cell_aim: int = CELL_AIM, threshold: float = THRESHOLD) -> DataFrame:
+    """node, cell, x, copies with cells of at most cell_max rows, or clumps; a node is in `overlap` cells of each split."""
     done, open_rows = None, packed
     for _ in range(32):
         counts = materialize(open_rows.groupBy("cell").count(), "emb-cells")
@@ -107,25 +131,31 @@ def deal(packed: DataFrame, overlap: int, cell_max: int = CELL_MAX, cell_aim: in
             dim = len(pdf["x"].iloc[0]) // 8
             # twice as many centres as cells a node goes to at least, so that every split makes cells smaller
             k = int(min(max(2 * overlap, -(-overlap * int(pdf["count"].iloc[0]) // cell_aim)), 64, len(pdf)))
-            return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "centres": [centres(unit_rows(list(pdf["x"]), dim), k).astype("<f8").tobytes()]})
+            x = unit_rows(list(pdf["x"]), dim)
+            c = centres(x, k)
+            groups = unite(x, c, threshold)
+            fullest = np.bincount(nearest_groups(x @ c.T, groups, overlap).ravel()).max() / len(x)
+            clump = groups.max() < overlap or fullest > STUCK
+            return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "centres": [c.astype("<f8").tobytes()], "groups": [groups.astype(np.int32)], "clump": [bool(clump)]})
 
-        learned = materialize(picked.groupBy("cell").applyInPandas(learn, "cell string, centres binary"), "emb-centres")
+        learned = materialize(picked.groupBy("cell").applyInPandas(learn, "cell string, centres binary, groups array<int>, clump boolean"), "emb-centres")
+        done = done.unionByName(big.join(learned.where("clump").select("cell"), "cell").drop("count"))
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 take, cells = [], []
-                known: dict[str, np.ndarray] = {}
-                for i, (cell, x, c) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("cell", "x", "centres")))):
+                known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+                for i, (cell, x, c, g) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("cell", "x", "centres", "groups")))):
                     v = np.frombuffer(x, "<f8")
                     if cell not in known:
-                        known[cell] = np.frombuffer(c, "<f8").reshape(-1, len(v))
-                    near = np.argsort(-(known[cell] @ v), kind="stable")[:overlap]
+                        known[cell] = np.frombuffer(c, "<f8").reshape(-1, len(v)), np.array(g)
+                    near = nearest_groups((known[cell][0] @ v)[None, :], known[cell][1], overlap)[0]
                     take += [i] * len(near)
                     cells += [f"{cell}.{j}" for j in near]
                 own = batch.take(pa.array(take, pa.int64()))
                 yield pa.RecordBatch.from_arrays([own.column("node"), pa.array(cells, pa.string()), own.column("x"), own.column("copies")], ["node", "cell", "x", "copies"])
 
-        open_rows = materialize(big.join(learned, "cell").mapInArrow(assign, "node long, cell string, x binary, copies long"), "emb-open")
+        open_rows = materialize(big.join(learned.where("not clump"), "cell").mapInArrow(assign, "node long, cell string, x binary, copies long"), "emb-open")
     raise RuntimeError("cells did not become small enough")
 
 
@@ -224,8 +254,40 @@ def local_roots(n: int, pairs: list[np.ndarray]) -> np.ndarray:
     return np.array([find(i) for i in range(n)])
 
 
+def spread(hits: np.ndarray) -> np.ndarray:
+    """local_roots for a symmetric table of links: a node's row is read once, however many links it has."""
+    root = np.full(len(hits), -1)
+    for i in range(len(hits)):
+        if root[i] < 0:
+            root[i], front = i, np.array([i])
+            while len(front):
+                front = np.flatnonzero(hits[front].any(0) & (root < 0))
+                root[front] = i
+    return root
+
+
+def in_range(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    return np.concatenate([a[start : start + 512] @ b.T >= threshold for start in range(0, len(a), 512)])
+
+
+def shared_earlier(cell: str, cells: list) -> dict[str, list[int]]:
+    """Rows by the cells that come before this one."""
+    out: dict[str, list[int]] = {}
+    for i, own in enumerate(cells):
+        for c in own:
+            if c < cell:
+                out.setdefault(c, []).append(i)
+    return out
+
+
 def _link_cells(dealt: DataFrame, threshold: float, beam: int) -> DataFrame:
     """(node, links, root) a node and cell: copies linked in this cell as the pair's first, and the local root."""
+    # clumps sort before other cells, so a pair that shares one is counted where nothing is missed
+    counts = materialize(dealt.groupBy("cell").count(), "emb-sizes")
+    sized = dealt.join(counts, "cell").withColumn("clump", F.col("count") > CELL_MAX)
+    blocks = F.when(F.col("clump"), F.ceil(F.col("count") / CELL_MAX)).otherwise(1).cast("int")
+    sized = sized.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", "cell"), F.col("blocks")).cast("int"))
+    dealt = sized.withColumn("cell", F.concat(F.when(F.col("clump"), "0").otherwise("1"), "cell")).drop("count")
 
     def adjacency(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
@@ -233,7 +295,7 @@ def _link_cells(dealt: DataFrame, threshold: float, beam: int) -> DataFrame:
         x = unit_rows(list(pdf["x"]), len(pdf["x"].iloc[0]) // 8)
         return pd.DataFrame({"node": ids, "near": [ids[own] for own in build(x, len(ids))]})
 
-    lists = dealt.groupBy("cell").applyInPandas(adjacency, "node long, near array<long>")
+    lists = dealt.groupBy("cell", "block").applyInPandas(adjacency, "node long, near array<long>")
     lists = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # at most degree x cells
     lists = materialize(lists, "emb-graph")
     cells = dealt.groupBy("node").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
@@ -253,46 +315,73 @@ def _link_cells(dealt: DataFrame, threshold: float, beam: int) -> DataFrame:
         np.fill_diagonal(hits, False)
         roots = local_roots(len(ids), [np.flatnonzero(hits[i, : i + 1]) for i in range(len(ids))])
         # pairs that share an earlier cell are counted there
-        earlier: dict[str, list[int]] = {}
-        for i, own in enumerate(pdf["cells"]):
-            for c in own:
-                if c < cell:
-                    earlier.setdefault(c, []).append(i)
-        for rows in earlier.values():
+        for rows in shared_earlier(cell, pdf["cells"]).values():
             hits[np.ix_(rows, rows)] = False
         return pd.DataFrame({"node": ids, "links": hits @ pdf["copies"].to_numpy(), "root": ids[roots]})
 
-    return materialize(members.groupBy("cell").applyInPandas(search, "node long, links long, root long"), "emb-found")
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Two blocks of a clump, or one with itself: every pair."""
+        pdf = pdf.sort_values(["block", "node"])
+        ids, cell, copies = pdf["node"].to_numpy(), pdf["cell"].iloc[0], pdf["copies"].to_numpy()
+        x = unit_rows(list(pdf["x"]), len(pdf["x"].iloc[0]) // 8)
+        own = pdf["low"].iloc[0] == pdf["high"].iloc[0]
+        a = int((pdf["block"] == pdf["low"]).sum())
+        b = 0 if own else a  # rows from b on are the second block
+        hits = in_range(x[:a], x[b:], threshold)
+        if own:
+            np.fill_diagonal(hits, False)
+        both = np.zeros((len(ids), len(ids)), bool)
+        both[:a, b:] = hits
+        roots = spread(both | both.T)
+        del both
+        for rows in shared_earlier(cell, pdf["cells"]).values():
+            at = np.array(rows)
+            hits[np.ix_(at[at < a], at[at >= b] - b)] = False
+        links = np.zeros(len(ids), np.int64)
+        links[:a] += hits @ copies[b:]
+        if not own:
+            links[b:] += hits.T @ copies[:a]
+        return pd.DataFrame({"node": ids, "links": links, "root": ids[roots]})
+
+    small = members.where("not clump").groupBy("cell").applyInPandas(search, "node long, links long, root long")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    pairs = members.where("clump").select("node", "cell", "x", "copies", "cells", "block", other)
+    pairs = pairs.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    large = pairs.groupBy("cell", "low", "high").applyInPandas(compare, "node long, links long, root long")
+    return materialize(small.unionByName(large), "emb-found")
 
 
 def audit(packed: DataFrame, links: DataFrame, threshold: float = THRESHOLD, queries: int = AUDIT) -> float:
-    """Share of the true links of `queries` nodes, picked by hash, that were found; the truth by brute force over all nodes."""
-    picked = packed.select("node", "cell", "x").orderBy(F.xxhash64("node"), "node").limit(queries).collect()
-    if not picked:
-        return 1.0
-    groups: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for cell in {r["cell"] for r in picked}:
-        own = [r for r in picked if r["cell"] == cell]
-        groups[cell] = np.array([r["node"] for r in own]), unit_rows([bytes(r["x"]) for r in own], len(own[0]["x"]) // 8)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = {}
-        for batch in batches:
-            cells = np.array(batch.column("cell").to_pylist(), object)
-            for cell, (nodes, q) in groups.items():
-                rows = np.flatnonzero(cells == cell)
-                if not len(rows):
-                    continue
-                take = batch.take(pa.array(rows))
-                x = unit_rows([bytes(v) for v in take.column("x").to_pylist()], q.shape[1])
-                hit = (x @ q.T >= threshold) & (np.asarray(take.column("node"))[:, None] != nodes[None, :])
-                for node, n in zip(nodes.tolist(), (hit * np.asarray(take.column("copies"))[:, None]).sum(0).tolist()):
-                    total[node] = total.get(node, 0) + n
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["node", "true"])
-
-    truth = packed.mapInArrow(work, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
-    row = truth.join(links, "node", "left").agg(F.sum("true").alias("t"), F.sum(F.least("true", F.coalesce("links", F.lit(0)))).alias("f")).first()
-    return float(row["f"]) / float(row["t"]) if row["t"] else 1.0
+    """Least share, over the labels, of the true links of `queries` nodes, picked by hash, that were found; the truth by
+    brute force over all nodes of the label. Labels of up to CELL_MAX nodes, and those with few true links, count as one."""
+    counts = materialize(packed.groupBy("cell").count(), "emb-labels")
+    counts = counts.withColumn("large", F.col("count") > CELL_MAX).withColumn("of", F.when(F.col("large"), F.col("cell")))
+    counts = counts.withColumn("total", F.sum("count").over(Window.partitionBy("of"))).withColumn("parts", F.ceil(F.col("count") / CELL_MAX).cast("int"))
+    counts = materialize(counts, "emb-parts")
+    sized = packed.select("node", "cell", "x", "copies").join(counts, "cell")
+    rank = F.pmod(F.xxhash64("node"), F.lit(1 << 40))
+    picked = sized.withColumn("rank", rank).where(F.col("rank") < F.lit(4.0 * queries * (1 << 40)) / F.col("total"))
+    picked = picked.withColumn("n", F.row_number().over(Window.partitionBy("of").orderBy("rank", "node"))).where(F.col("n") <= queries)
+    picked = materialize(picked.select("node", "cell", "of", "x", "parts"), "emb-queries")
+    asked = picked.select("node", "cell", "x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    rows = sized.join(picked.select("cell").distinct(), "cell", "left_semi")
+    rows = rows.select("node", "cell", "x", "copies", F.pmod(F.xxhash64("node", "cell"), F.col("parts")).cast("int").alias("part"))
+
+    def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"node": [], "true": []}, dtype=np.int64)
+        dim = len(left["x"].iloc[0]) // 8
+        nodes = left["node"].to_numpy()
+        hit = unit_rows(list(left["x"]), dim) @ unit_rows(list(right["x"]), dim).T >= threshold
+        hit &= nodes[:, None] != right["node"].to_numpy()[None, :]
+        return pd.DataFrame({"node": nodes, "true": hit @ right["copies"].to_numpy()})
+
+    truth = asked.groupBy("cell", "part").cogroup(rows.groupBy("cell", "part")).applyInPandas(work, "node long, true long")
+    truth = truth.groupBy("node").agg(F.sum("true").alias("true")).join(picked.select("node", "of"), "node").join(links, "node", "left")
+    sums = truth.groupBy("of").agg(F.sum("true").alias("t"), F.sum(F.least("true", F.coalesce("links", F.lit(0)))).alias("f"))
+    sums = sums.groupBy(F.when(F.col("t") >= queries, F.col("of")).alias("of")).agg(F.sum("t").alias("t"), F.sum("f").alias("f"))
+    least = sums.where("t > 0").agg(F.min(F.col("f") / F.col("t"))).first()[0]
+    return 1.0 if least is None else float(least)
 
 
 def near_duplicates(
@@ -303,7 +392,8 @@ def near_duplicates(
     base, nodes = classes(rows, vec_id, embedding, label)
     packed = materialize(pack(nodes), "emb-packed")
     for attempt in range(tries):
-        found = _link_cells(deal(packed, OVERLAP + attempt), threshold, BEAM << attempt)
+        wide = {} if threshold == THRESHOLD else {"threshold": threshold}
+        found = _link_cells(deal(packed, OVERLAP + attempt, **wide), threshold, BEAM << attempt)
         links = materialize(found.groupBy("node").agg(F.sum("links").alias("links")), "emb-links")
         reached = audit(packed, links, threshold)
         if reached >= recall:

@@ -81,3 +81,27 @@ def test_shortfall_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(neardup, "audit", lambda *a, **k: 0.5)
     with pytest.raises(RuntimeError):
         run(spark, data(3, 60))
+
+
+def small_cells(monkeypatch):
+    monkeypatch.setattr(neardup, "CELL_MAX", 150)
+    deal = neardup.deal
+    monkeypatch.setattr(neardup, "deal", lambda p, o: deal(p, o, 150, 80))
+
+
+@pytest.mark.parametrize("loose", [0, 400])
+def test_clump_of_distinct_near_copies_is_whole(spark, monkeypatch, loose):
+    small_cells(monkeypatch)
+    rng = np.random.default_rng(7)
+    centre = rng.normal(0, 1, 32)
+    rows = [(k, (centre + rng.normal(0, 0.05, 32)).astype(np.float32).tolist(), 0) for k in range(700)]
+    rows += [(1000 + k, rng.normal(0, 1, 32).astype(np.float32).tolist(), 0) for k in range(loose)]
+    assert run(spark, rows) == sorted(truth(rows))
+
+
+def test_audit_is_by_label(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CELL_MAX", 50)
+    x = np.array([1.0, 0.0])
+    packed = spark.createDataFrame([(k, "a:2" if k < 900 else "b:2", x.astype("<f8").tobytes(), 1) for k in range(1000)], "node long, cell string, x binary, copies long")
+    links = spark.createDataFrame([(k, 899 if k < 900 else 9) for k in range(1000)], "node long, links long")
+    assert neardup.audit(packed, links) == pytest.approx(9 / 99)
