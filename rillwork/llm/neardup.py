@@ -8,7 +8,9 @@
 3. In each cell every node gets neighbours by robust pruning of its nearest candidates and some random ones, with edges
    both ways; the adjacency lists that a node got in its cells are united.
 4. Each node is searched for in its cells: greedily from the cell's medoids, then, from every node in range, through all
-   neighbours that are in range too, until no more are found. Links are verified in double precision.
+   neighbours that are in range too, until no more are found. Links are verified in double precision. The growth goes on
+   in other cells: united neighbours that share no cell with the node are joined to it in rounds, verified, and grown
+   from, until a round finds no more. Only edges of up to twice the range are followed, as no other can end in range.
 5. A pair that shares several cells is counted in the first of them only, so links are counted without listing pairs; a
    cell hands on one edge a node (to its local root), and components join these. Clumps come before other cells.
 6. Recall is audited: AUDIT nodes of every label over CELL_MAX nodes, and AUDIT of all smaller ones, are compared with all
@@ -280,6 +282,58 @@ def shared_earlier(cell: str, cells: list) -> dict[str, list[int]]:
     return out
 
 
+def outward(hits: np.ndarray, close, place) -> list[np.ndarray]:
+    """A row of hits each: the neighbours, outside `place`, of all that it hits."""
+    outside = [[v for v in own.tolist() if v not in place] for own in close]
+    has = np.array([i for i, own in enumerate(outside) if own], np.int64)
+    found: list[list[np.ndarray]] = [[] for _ in range(len(hits))]
+    if len(has):
+        ids, flat = np.unique(np.concatenate([outside[i] for i in has]), return_inverse=True)
+        source = np.repeat(np.arange(len(has)), [len(outside[i]) for i in has])
+        led = hits[:, has].astype(np.float32)
+        for low in range(0, len(ids), 1024):
+            here = (flat >= low) & (flat < low + 1024)
+            edges = np.zeros((len(has), min(1024, len(ids) - low)), np.float32)
+            edges[source[here], flat[here] - low] = 1
+            for i, row in enumerate(led @ edges > 0):
+                if row.any():
+                    found[i].append(ids[low + np.flatnonzero(row)])
+    return [np.concatenate(own) if own else np.zeros(0, np.int64) for own in found]
+
+
+def _grow_across(start: DataFrame, info: DataFrame, threshold: float) -> DataFrame:
+    """(node, links, root) for the links between nodes that share no cell. start: p, q to look at; info: node, x, copies,
+    cells, close. Each round verifies the new pairs and goes on with the neighbours of both ends of those in range."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = []
+            for a, b in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist()):
+                a, b = np.frombuffer(a, "<f8"), np.frombuffer(b, "<f8")
+                hit.append(bool(a @ b / np.sqrt((a @ a) * (b @ b)) >= threshold))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), batch.column("ca"), batch.column("cb"), pa.array(hit, pa.bool_())], ["u", "v", "ca", "cb", "hit"])
+
+    cells = info.select("node", "cells")
+    vectors = info.select("node", "x", "copies")
+    seen, linked = None, None
+    while True:
+        pairs = start.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).where("u <> v").distinct()
+        if seen is not None:
+            pairs = pairs.join(seen, ["u", "v"], "left_anti")
+        pairs = pairs.join(cells.toDF("u", "cu"), "u").join(cells.toDF("v", "cv"), "v").where(~F.arrays_overlap("cu", "cv")).select("u", "v")
+        pairs = pairs.join(vectors.toDF("u", "xa", "ca"), "u").join(vectors.toDF("v", "xb", "cb"), "v")
+        tried = materialize(pairs.mapInArrow(verify, "u long, v long, ca long, cb long, hit boolean"), "emb-tried")
+        hits = tried.where("hit")
+        linked = hits if linked is None else linked.unionByName(hits)
+        if hits.isEmpty():
+            break
+        seen = tried.select("u", "v") if seen is None else seen.unionByName(tried.select("u", "v"))
+        ends = hits.select(F.col("u").alias("p"), F.col("v").alias("node")).unionByName(hits.select(F.col("v").alias("p"), F.col("u").alias("node")))
+        start = ends.join(info.select("node", "close"), "node").select("p", F.explode("close").alias("q"))
+    one = linked.select(F.col("u").alias("node"), F.col("cb").alias("links"), F.col("v").alias("root"))
+    return one.unionByName(linked.select(F.col("v").alias("node"), F.col("ca").alias("links"), F.col("v").alias("root")))
+
+
 def _link_cells(dealt: DataFrame, threshold: float, beam: int) -> DataFrame:
     """(node, links, root) a node and cell: copies linked in this cell as the pair's first, and the local root."""
     # clumps sort before other cells, so a pair that shares one is counted where nothing is missed
@@ -289,14 +343,19 @@ def _link_cells(dealt: DataFrame, threshold: float, beam: int) -> DataFrame:
     sized = sized.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", "cell"), F.col("blocks")).cast("int"))
     dealt = sized.withColumn("cell", F.concat(F.when(F.col("clump"), "0").otherwise("1"), "cell")).drop("count")
 
+    reach = 2 * threshold * threshold - 1 - 1e-9 if threshold > 0 else -2.0  # cosine at twice the angle of `threshold`
+
     def adjacency(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
         ids = pdf["node"].to_numpy()
         x = unit_rows(list(pdf["x"]), len(pdf["x"].iloc[0]) // 8)
-        return pd.DataFrame({"node": ids, "near": [ids[own] for own in build(x, len(ids))]})
+        near = build(x, len(ids))
+        close = [own[x[own] @ x[i] >= reach] for i, own in enumerate(near)]
+        return pd.DataFrame({"node": ids, "near": [ids[own] for own in near], "close": [ids[own] for own in close]})
 
-    lists = dealt.groupBy("cell", "block").applyInPandas(adjacency, "node long, near array<long>")
-    lists = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # at most degree x cells
+    lists = dealt.groupBy("cell", "block").applyInPandas(adjacency, "node long, near array<long>, close array<long>")
+    united = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("near", "close")]  # at most degree x cells
+    lists = lists.groupBy("node").agg(*united)
     lists = materialize(lists, "emb-graph")
     cells = dealt.groupBy("node").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
     members = materialize(dealt.join(lists, "node").join(cells, "node"), "emb-members")
@@ -315,9 +374,10 @@ def _link_cells(dealt: DataFrame, threshold: float, beam: int) -> DataFrame:
         np.fill_diagonal(hits, False)
         roots = local_roots(len(ids), [np.flatnonzero(hits[i, : i + 1]) for i in range(len(ids))])
         # pairs that share an earlier cell are counted there
+        out = outward(hits | np.eye(len(ids), dtype=bool), pdf["close"], place)
         for rows in shared_earlier(cell, pdf["cells"]).values():
             hits[np.ix_(rows, rows)] = False
-        return pd.DataFrame({"node": ids, "links": hits @ pdf["copies"].to_numpy(), "root": ids[roots]})
+        return pd.DataFrame({"node": ids, "links": hits @ pdf["copies"].to_numpy(), "root": ids[roots], "out": out})
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         """Two blocks of a clump, or one with itself: every pair."""
@@ -334,6 +394,9 @@ def _link_cells(dealt: DataFrame, threshold: float, beam: int) -> DataFrame:
         both[:a, b:] = hits
         roots = spread(both | both.T)
         del both
+        place = set(ids.tolist())
+        out = outward(hits | np.eye(a, dtype=bool) if own else hits, pdf["close"].iloc[b:], place)
+        out += [] if own else outward(hits.T, pdf["close"].iloc[:a], place)
         for rows in shared_earlier(cell, pdf["cells"]).values():
             at = np.array(rows)
             hits[np.ix_(at[at < a], at[at >= b] - b)] = False
@@ -341,14 +404,17 @@ def _link_cells(dealt: DataFrame, threshold: float, beam: int) -> DataFrame:
         links[:a] += hits @ copies[b:]
         if not own:
             links[b:] += hits.T @ copies[:a]
-        return pd.DataFrame({"node": ids, "links": links, "root": ids[roots]})
+        return pd.DataFrame({"node": ids, "links": links, "root": ids[roots], "out": out})
 
-    small = members.where("not clump").groupBy("cell").applyInPandas(search, "node long, links long, root long")
+    small = members.where("not clump").groupBy("cell").applyInPandas(search, "node long, links long, root long, out array<long>")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = members.where("clump").select("node", "cell", "x", "copies", "cells", "block", other)
+    pairs = members.where("clump").select("node", "cell", "x", "copies", "cells", "close", "block", other)
     pairs = pairs.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    large = pairs.groupBy("cell", "low", "high").applyInPandas(compare, "node long, links long, root long")
-    return materialize(small.unionByName(large), "emb-found")
+    large = pairs.groupBy("cell", "low", "high").applyInPandas(compare, "node long, links long, root long, out array<long>")
+    found = materialize(small.unionByName(large), "emb-found")
+    info = materialize(members.dropDuplicates(["node"]).select("node", "x", "copies", "cells", "close"), "emb-info")
+    start = found.select(F.col("node").alias("p"), F.explode("out").alias("q"))
+    return found.drop("out").unionByName(_grow_across(start, info, threshold))
 
 
 def audit(packed: DataFrame, links: DataFrame, threshold: float = THRESHOLD, queries: int = AUDIT) -> float:

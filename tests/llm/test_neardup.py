@@ -105,3 +105,13 @@ def test_audit_is_by_label(spark, monkeypatch):
     packed = spark.createDataFrame([(k, "a:2" if k < 900 else "b:2", x.astype("<f8").tobytes(), 1) for k in range(1000)], "node long, cell string, x binary, copies long")
     links = spark.createDataFrame([(k, 899 if k < 900 else 9) for k in range(1000)], "node long, links long")
     assert neardup.audit(packed, links) == pytest.approx(9 / 99)
+
+
+def test_growth_follows_the_united_graph_into_other_cells(spark):
+    angles = [0.0, 0.06, 0.12, 0.18, 0.24]  # in range up to 0.2003
+    cells = [["1"], ["1", "2"], ["2", "3"], ["3", "4"], ["4"]]
+    rows = [(k, c, np.array([np.cos(a), np.sin(a)]).astype("<f8").tobytes(), k + 1) for k, a in enumerate(angles) for c in cells[k]]
+    found = neardup._link_cells(spark.createDataFrame(rows, "node long, cell string, x binary, copies long"), 0.98, 16)
+    links = {r.node: r.n for r in found.groupBy("node").agg({"links": "sum"}).withColumnRenamed("sum(links)", "n").collect()}
+    want = {i: sum(j + 1 for j, b in enumerate(angles) if j != i and np.cos(a - b) >= 0.98) for i, a in enumerate(angles)}
+    assert links == want
