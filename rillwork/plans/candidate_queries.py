@@ -374,7 +374,18 @@ def neighbour_counts(spark, d):
   e AS (SELECT slug, tile, '20' || lpad((length(slug))::VARCHAR, 2, '0') AS "end" FROM x), l AS (SELECT tile, max({'e': "end", 's': slug}) AS m, string_agg(slug, ',' ORDER BY slug) AS surveys FROM e GROUP BY tile)
   SELECT tile, m.s AS latest_survey, surveys, split_part(tile, '_', 1) AS sheet, m.s < '3' AS has_dsm, split_part(tile, '_', 1) < 'AB05' AS in_national FROM l"""))
 def partition_tiles(spark, d):
-    x = cand(spark, d).where("tile < 10").select(F.col("kind").alias("slug"), "tile").distinct().where((F.length("slug") + F.col("tile")) % 3 > 0)
+    return _partition_tiles(cand(spark, d).where("tile < 10"))
+
+
+@C.add("partition_tiles_all", over("cand", """, x AS (SELECT DISTINCT kind AS slug, 'AB' || lpad((tile)::VARCHAR, 2, '0') || '_5000_0101' AS tile FROM cand WHERE (length(kind) + tile) % 3 > 0),
+  e AS (SELECT slug, tile, '20' || lpad((length(slug))::VARCHAR, 2, '0') AS "end" FROM x), l AS (SELECT tile, max({'e': "end", 's': slug}) AS m, string_agg(slug, ',' ORDER BY slug) AS surveys FROM e GROUP BY tile)
+  SELECT tile, m.s AS latest_survey, surveys, split_part(tile, '_', 1) AS sheet, m.s < '3' AS has_dsm, split_part(tile, '_', 1) < 'AB05' AS in_national FROM l"""))
+def partition_tiles_all(spark, d):
+    return _partition_tiles(cand(spark, d))
+
+
+def _partition_tiles(c):
+    x = c.select(F.col("kind").alias("slug"), "tile").distinct().where((F.length("slug") + F.col("tile")) % 3 > 0)
     name = F.concat(F.lit("AB"), F.lpad(F.col("tile").cast("string"), 2, "0"), F.lit("_5000_0101"))
     end = F.concat(F.lit("20"), F.lpad(F.length("slug").cast("string"), 2, "0"))
     sets = x.select("slug", name.alias("t"), end.alias("end")).groupBy("slug", "end").agg(F.collect_list("t").alias("items"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, scalars
 from ..operators import focal, near, rules, vector
-from ..session import materialize
+from ..session import materialize, ship_package
 from ..sources import catalog, raster
 from .views import Catalogue, cand, lnk, over, pts, ras, table, tree
 
@@ -95,10 +98,21 @@ def mask_runs(spark, d):
 
 @C.add("dilate_mask", over("ras", """SELECT "row", col FROM ras a WHERE EXISTS (SELECT 1 FROM ras b WHERE b.z > 0.3 AND (a."row" - b."row") * (a."row" - b."row") + (a.col - b.col) * (a.col - b.col) <= 9) AND a."row" < 60"""))
 def dilate_mask(spark, d):
-    r = ras(spark, d).select((F.col("row") * 64 + F.col("col")).alias("id"), F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), "row", "col", "z")
+    r = _mask_cells(spark, d)
     return near.near_semi(r.where("row < 60"), r.where("z > 0.3 and row < 64"), 3.0).select("row", "col")
 
 
+@C.add("dilate_mask_all")
+def dilate_mask_all(spark, d):
+    """dilate_mask over the whole raster; its SQL is quadratic."""
+    r = _mask_cells(spark, d)
+    return near.near_semi(r, r.where("z > 0.3"), 3.0).select("row", "col")
+
+
+def _mask_cells(spark, d):
+    return ras(spark, d).select((F.col("row") * 64 + F.col("col")).alias("id"), F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), "row", "col", "z")
+
+
 @C.add("share_in_window", over("ras", """, m AS (SELECT max("row") AS mr, max(col) AS mc FROM ras), f AS (SELECT "row", col, CASE WHEN z > 0.1 THEN 1 ELSE 0 END AS h FROM ras),
   a AS (SELECT *, sum(h) OVER (PARTITION BY "row" ORDER BY col RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s1 FROM f), b AS (SELECT *, sum(s1) OVER (PARTITION BY col ORDER BY "row" RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM a)
   SELECT "row", col, s / 25 AS share FROM b"""))
@@ -211,8 +225,17 @@ def band_stack(spark, d):
 
 @C.add("product_round_trip", over("ras", 'SELECT "row", col, (z::FLOAT)::DOUBLE AS z FROM ras WHERE "row" < 64'))
 def product_round_trip(spark, d):
+    return _product_round_trip(spark, ras(spark, d).where("row < 64"))
+
+
+@C.add("product_round_trip_all", over("ras", 'SELECT "row", col, (z::FLOAT)::DOUBLE AS z FROM ras'))
+def product_round_trip_all(spark, d):
+    return _product_round_trip(spark, ras(spark, d))
+
+
+def _product_round_trip(spark, cells):
     path = raster.scratch_product(spark)
-    raster.write_product({"z": ras(spark, d).where("row < 64")}, path, {"cell": 1.0}, 32)
+    raster.write_product({"z": cells}, path, {"cell": 1.0}, 32)
     return raster.chunks_to_cells(raster.read_product(spark, path)[0]).select("row", "col", "z")
 
 
@@ -298,9 +321,40 @@ def completeness_checks(spark, d):
 
 @C.add("provenance_rows", """SELECT o_orderpriority AS layer, sha256(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey)) AS checksum, count(*) AS n FROM orders WHERE o_custkey < 50 GROUP BY 1""")
 def provenance_rows(spark, d):
-    o = table(spark, d, "orders").where("o_custkey < 50").groupBy(F.col("o_orderpriority").alias("layer"))
-    keys = F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda v: v.cast("string"))
-    return o.agg(F.sha2(F.array_join(keys, ","), 256).alias("checksum"), F.count("*").alias("n"))
+    return _provenance(table(spark, d, "orders").where("o_custkey < 50"))
+
+
+@C.add("provenance_rows_all", """SELECT o_orderpriority AS layer, sha256(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey)) AS checksum, count(*) AS n FROM orders GROUP BY 1""")
+def provenance_rows_all(spark, d):
+    return _provenance(table(spark, d, "orders"))
+
+
+def _provenance(orders):
+    """Layers are read in key order and hashed as they pass, so no list of a layer's keys is held."""
+
+    def work(batches):
+        layer, sha, n, started = None, hashlib.sha256(), 0, False
+        for batch in batches:
+            out = []
+            for own, key in zip(batch.column("layer").to_pylist(), batch.column("key").to_pylist()):
+                if n and own != layer:
+                    out.append((layer, sha.hexdigest() if started else None, n))
+                    sha, n, started = hashlib.sha256(), 0, False
+                layer, n = own, n + 1
+                if key is not None:
+                    sha.update(f",{key}".encode() if started else str(key).encode())
+                    started = True
+            yield _provenance_batch(out)
+        yield _provenance_batch([(layer, sha.hexdigest() if started else None, n)] if n else [])
+
+    ship_package(orders.sparkSession)
+    o = orders.select(F.col("o_orderpriority").alias("layer"), F.col("o_orderkey").alias("key"))
+    return o.repartition("layer").sortWithinPartitions("layer", "key").mapInArrow(work, "layer string, checksum string, n long")
+
+
+def _provenance_batch(rows):
+    kinds = pa.schema([("layer", pa.string()), ("checksum", pa.string()), ("n", pa.int64())])
+    return pa.RecordBatch.from_pylist([dict(zip(kinds.names, r)) for r in rows], kinds)
 
 
 @C.add("evidence_union", over("cand", "SELECT id, 'cand' AS source, score, NULL::BIGINT AS u FROM cand WHERE tile = 3 UNION ALL SELECT o, 'link', NULL, u FROM (SELECT l_orderkey AS o, l_suppkey AS u FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 45)"))

@@ -108,8 +108,19 @@ _MASK = """, m AS (SELECT "row", col, "row" * 64 + col AS id FROM ras WHERE z >
 
 @C.add("mask_components", over("ras", _MASK + " SELECT r // 64 AS first_row, r % 64 AS first_col, count(*) AS n FROM (SELECT id, min(r) AS r FROM walk GROUP BY id) GROUP BY r", recursive=True))
 def mask_components(spark, d):
+    return _mask_components(ras(spark, d).where("row < 60"))
+
+
+@C.add("mask_components_all")
+def mask_components_all(spark, d):
+    """mask_components over the whole raster; its recursive SQL is too slow there."""
+    return _mask_components(ras(spark, d))
+
+
+def _mask_components(r):
     size = 16
-    cells = ras(spark, d).where("row < 60").select("row", "col", F.when(F.col("z") > 0.25, 1.0).otherwise(0.0).alias("z"))
+    cells = r.select("row", "col", F.when(F.col("z") > 0.25, 1.0).otherwise(0.0).alias("z"))
+
     def work(z, r, c):
         lab = kernels.label(z > 0.5)
         return [{"row": r + int(i), "col": c + int(j), "tr": r // size, "tc": c // size, "label": int(lab[i, j])} for i, j in np.argwhere(lab > 0)]

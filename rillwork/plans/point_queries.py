@@ -284,7 +284,7 @@ def quadrant_id(spark, d):
 
 @C.add("window_tiles")
 def window_tiles(spark, d):
-    g = _grid(spark, d).where("id < 20").select("id", (F.col("e") - 3000).alias("xmin"), (F.col("n") - 3000).alias("ymin"), (F.col("e") + 3000).alias("xmax"), (F.col("n") + 3000).alias("ymax"))
+    g = _grid(spark, d).select("id", (F.col("e") - 3000).alias("xmin"), (F.col("n") - 3000).alias("ymin"), (F.col("e") + 3000).alias("xmax"), (F.col("n") + 3000).alias("ymax"))
     return grid.window_tiles(g, 5_000).select("id", "tile_row", "tile_col", "tile")
 
 

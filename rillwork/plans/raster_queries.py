@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compare, focal
 from ..sources import catalog
-from .views import Catalogue, over, ras
+from .views import Catalogue, over, ras, table
 
 C = Catalogue()
 
@@ -254,3 +254,10 @@ def land_mask_gap(spark, d):
 @C.add("flip_north_up", over("ras", 'SELECT 499 - "row" AS "row", col, z FROM ras WHERE "row" < 500'))
 def flip_north_up(spark, d):
     return ras(spark, d).where("row < 500").select((F.lit(499) - F.col("row")).alias("row"), "col", "z")
+
+
+@C.add("flip_north_up_all", over("ras", 'SELECT (SELECT max("row") FROM ras) - "row" AS "row", col, z FROM ras'))
+def flip_north_up_all(spark, d):
+    r = ras(spark, d)
+    last = F.broadcast(table(spark, d, "embeddings").agg(F.max("vec_id").alias("last")))
+    return r.crossJoin(last).select((F.col("last") - F.col("row")).alias("row"), "col", "z")
