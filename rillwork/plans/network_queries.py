@@ -116,10 +116,20 @@ _SMOOTH = """, e AS (SELECT u, v % 50 AS v, sum(length) AS w FROM lnk WHERE u <
 
 @C.add("graph_smooth", over("lnk", _SMOOTH + " SELECT id, round_even(x, 6) AS value FROM n3"))
 def graph_smooth(spark, d):
-    e = lnk(spark, d).where("u < 50 and u <> v % 50").groupBy("u", (F.col("v") % 50).alias("v")).agg(F.sum("length").alias("w"))
+    return _smooth(lnk(spark, d).where("u < 50").withColumn("v", F.col("v") % 50), 3)
+
+
+@C.add("graph_smooth_all")
+def graph_smooth_all(spark, d):
+    """All links with their own nodes and the 20 rounds of G14; SQL would have to unroll them."""
+    return _smooth(lnk(spark, d), 20)
+
+
+def _smooth(links, rounds):
+    e = links.where("u <> v").groupBy("u", "v").agg(F.sum("length").alias("w"))
     ids = e.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     v = ids.select("id", ((F.col("id") * 37 % 100) / F.lit(100.0)).alias("value"), F.lit(1.0).alias("weight"))
-    return graph.smooth(v, e, 3).select("id", b6("value").alias("value"))
+    return graph.smooth(v, e, rounds).select("id", b6("value").alias("value"))
 
 
 # profiles along lines

@@ -42,3 +42,20 @@ def test_dilate_mask_of_all_rows(spark, raster):
 
 def test_window_tiles_of_all_points(spark, raster):
     assert {r.id for r in Q["window_tiles"](spark, raster[0]).select("id").distinct().collect()} == set(range(130))
+
+
+def test_graph_smooth_of_all_links(spark, sf):
+    links = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_partkey", "l_quantity").collect()
+    ids = sorted({k for r in links for k in r[:2] if r[0] != r[1]})
+    at = {k: i for i, k in enumerate(ids)}
+    w = np.zeros((len(ids), len(ids)))
+    for u, v, n in links:
+        if u != v:
+            w[at[u], at[v]] += float(n)
+            w[at[v], at[u]] += float(n)
+    x = np.array([k * 37 % 100 / 100 for k in ids])
+    for _ in range(20):
+        x = 0.5 * x + 0.5 * (w @ x) / w.sum(1)
+    got = {r.id: r.value for r in Q["graph_smooth_all"](spark, sf).collect()}
+    assert sorted(got) == ids and max(ids) >= 50
+    assert np.allclose([got[k] for k in ids], x, atol=2e-6)
