@@ -109,3 +109,31 @@ def merge_labels(labelled: DataFrame, size: int, eight: bool = True) -> DataFram
     edges = moved.join(border.select("row", "col", F.col("id").alias("v")), ["row", "col"]).where("u <> v").select("u", "v").distinct()
     names = components(own.select("id").distinct(), edges)
     return own.select("row", "col", "id").join(names, "id").select("row", "col", F.col("label").alias("component"))
+
+
+def floodplain_mask(cells: DataFrame, cell: float = 1.0, max_height: float = 10.0, min_area: float = 1e4, size: int = 512) -> DataFrame:
+    """cells: row, col, height (above drainage). Returns row, col, inside: low cells without 4-connected islands under
+    min_area, and with enclosed holes under min_area filled; land that runs off the raster's edge is no hole."""
+    from ..session import materialize
+
+    def parts(mask: DataFrame, tag: str) -> DataFrame:
+        def work(z: np.ndarray, r: int, c: int) -> list[dict]:
+            lab = kernels.label(z > 0.5, eight=False)
+            return [{"row": r + int(i), "col": c + int(j), "tr": r // size, "tc": c // size, "label": int(lab[i, j])} for i, j in np.argwhere(lab > 0)]
+
+        lab = per_tile(mask, work, "row long, col long, tr long, tc long, label long", size, 0)
+        return materialize(merge_labels(materialize(lab, tag), size, eight=False), tag)
+
+    def chosen(comp: DataFrame, sizes: DataFrame) -> DataFrame:
+        return comp.join(sizes.select("component"), "component").select("row", "col", F.lit(True).alias("hit"))
+
+    area = F.count("*") * F.lit(cell * cell)
+    low = F.coalesce(F.col("height") <= max_height, F.lit(False))
+    islands = parts(cells.select("row", "col", F.when(low, 1.0).otherwise(0.0).alias("z")), "islands")
+    kept = chosen(islands, islands.groupBy("component").agg(area.alias("area")).where(F.col("area") >= min_area))
+    mask = materialize(cells.select("row", "col").join(kept, ["row", "col"], "left").select("row", "col", F.coalesce("hit", F.lit(False)).alias("inside")), "mask")
+    box = mask.agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
+    land = parts(mask.select("row", "col", F.when(F.col("inside"), 0.0).otherwise(1.0).alias("z")), "land").crossJoin(F.broadcast(box))
+    edge = F.max(F.col("row").isin(F.col("r0"), F.col("r1")) | F.col("col").isin(F.col("c0"), F.col("c1")))
+    holes = chosen(land, land.groupBy("component").agg(area.alias("area"), edge.alias("edge")).where((F.col("area") < min_area) & ~F.col("edge")))
+    return mask.join(holes, ["row", "col"], "left").select("row", "col", (F.col("inside") | F.coalesce("hit", F.lit(False))).alias("inside"))

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from rillwork.operators import tiles
 from rillwork.plans import catalogue
 
 Q = catalogue.queries()
@@ -17,6 +18,36 @@ def raster(spark, tmp_path_factory):
     return d, z.astype(float)
 
 
+def regions(mask):
+    left, out = {(int(i), int(j)) for i, j in np.argwhere(mask)}, []
+    while left:
+        todo = [left.pop()]
+        for i, j in todo:
+            near = {(i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)} & left
+            left -= near
+            todo += near
+        out.append(todo)
+    return out
+
+
+def test_floodplain_mask_across_tiles(spark):
+    z = np.random.default_rng(5).normal(10, 1, (50, 40))
+    z[10:30, 8:30] = 1.0
+    z[14:20, 14:17] = 20.0  # a hole across a tile edge
+    z[20:24, 20:30] = 20.0  # a bay
+    want = np.zeros(z.shape, bool)
+    for own in regions(z <= 10):
+        for i, j in own:
+            want[i, j] = len(own) >= 30
+    for own in regions(~want):
+        if len(own) < 30 and not any(i in (0, 49) or j in (0, 39) for i, j in own):
+            for i, j in own:
+                want[i, j] = True
+    cells = spark.createDataFrame([(i, j, float(z[i, j])) for i in range(50) for j in range(40)], "row long, col long, height double")
+    got = {(r.row, r.col): r.inside for r in tiles.floodplain_mask(cells, 1.0, 10.0, 30.0, 16).collect()}
+    assert got == {(i, j): bool(want[i, j]) for i in range(50) for j in range(40)}
+
+
 def test_mask_components_of_all_rows(spark, raster):
     d, z = raster
     left, want = {(int(i), int(j)) for i, j in np.argwhere(z > 0.25)}, []
