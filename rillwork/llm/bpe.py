@@ -8,7 +8,8 @@ by the merge list alone (`Merges.lookahead`), so memory is constant for words an
 
 Words come from the tokenizer's splitting pattern. A text is cut where no word can cross (before a space or line end that
 follows a non-space), and the encodings of the pieces are kept in a table of bounded size, so frequent pieces are encoded
-once; a piece that is long goes through the transducer in chunks.
+once; a piece that is long goes through the transducer in chunks. `digests` holds one text and its ids at a time; only
+`StreamEncoder` encodes a text of any length in constant memory.
 
 Defined cases: null and empty texts have no tokens and decode to the empty text; special tokens written in a text become
 their own ids; invalid bytes decode to U+FFFD.
