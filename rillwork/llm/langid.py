@@ -6,7 +6,8 @@ coordinate descent on a bounded sample: about PER_LANGUAGE rows of each language
 that are not held out; the bound is that parameter, and everything else covers all rows.
 
 Defined cases: null text or one without a letter is `und` with score 0; a null language is not learned from; languages
-with fewer than MIN_ROWS labelled rows are not learned; without any learned language, every text is `und`; one learned
+with fewer than MIN_ROWS labelled rows, and all but the MAX_LANGUAGES most frequent, are not learned, and their texts get the
+nearest learned language; without any learned language, every text is `und`; one learned
 language is predicted for every text with a letter, with score 1.
 """
 
