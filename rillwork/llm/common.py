@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -91,6 +92,30 @@ class Scratch:
             self.drop(name)
 
 
+def frugal(work, *clear):
+    """Wraps a function over Arrow batches: when its task ends, however that is, tables it kept are cleared (`clear`) and
+    free memory goes back to the system. Python workers are reused, and what one operator leaves is missing to the next."""
+
+    def run(*batches):
+        try:
+            yield from work(*batches)
+        finally:
+            for f in clear:
+                f()
+            if clear:
+                gc.collect()
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim:
+        trim(0)
+
+
 def utf8_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string or binary array without copying; a null has length 0."""
     if isinstance(column, pa.ChunkedArray):

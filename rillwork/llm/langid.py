@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, runs, utf8_views
+from .common import frugal, prepare, runs, utf8_views
 
 PER_LANGUAGE = 400
 MIN_ROWS = 5
@@ -184,7 +184,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
             packed = [row.tobytes() for part in x for row in part]
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("lang"), pa.array(packed, pa.binary())], ["h", "lang", "x"])
 
-    found = sample.mapInArrow(work, "h long, lang string, x binary").orderBy("h", "lang").limit(2 * per_language * len(counts)).collect()
+    found = sample.mapInArrow(frugal(work), "h long, lang string, x binary").orderBy("h", "lang").limit(2 * per_language * len(counts)).collect()
     x = np.array([np.frombuffer(r["x"], np.float16) for r in found], np.float32).reshape(len(found), -1)
     return fit(x, [r["lang"] for r in found])
 
@@ -219,7 +219,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang:
                 ["doc_id", "held_out", "lang_pred", "score"],
             )
 
-    return source.mapInArrow(work, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return source.mapInArrow(frugal(work), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.0) -> DataFrame:
@@ -231,4 +231,4 @@ def keep_known(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang
             names, score = predict_column(model, batch.column(text))
             yield batch.filter(pa.array([n != UNDETERMINED and s > least for n, s in zip(names, score)], pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(frugal(work), docs.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import frugal, prepare
 
 WIDTH = 64
 BLOCK_ROWS = 4096
@@ -207,7 +207,7 @@ def add_tiles(df: DataFrame, image: str = "image", rows: int = 32, cols: int = 3
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + extra, kept + ["tile", "dhash", "width", "height"])
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), own])
-    return df.mapInArrow(work, ddl)
+    return df.mapInArrow(frugal(work), ddl)
 
 
 def store_payload(df: DataFrame, key: Column, text: Column) -> DataFrame:
@@ -231,7 +231,7 @@ def store_payload(df: DataFrame, key: Column, text: Column) -> DataFrame:
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(stored, pa.binary())], ["doc_id", "n_bytes", "media"]
             )
 
-    return source.mapInArrow(work, f"doc_id {kind}, n_bytes long, media binary")
+    return source.mapInArrow(frugal(work), f"doc_id {kind}, n_bytes long, media binary")
 
 
 def read_payload(df: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare
+from .common import frugal, materialize, prepare
 from .graph import components
 
 THRESHOLD = 0.98
@@ -80,7 +80,7 @@ def pack(nodes: DataFrame) -> DataFrame:
             )
 
     cell = F.concat_ws(":", F.col("label").cast("string"), F.size("e")).alias("cell")
-    return nodes.select("node", cell, "e", "copies").mapInArrow(work, "node long, cell string, x binary, copies long")
+    return nodes.select("node", cell, "e", "copies").mapInArrow(frugal(work), "node long, cell string, x binary, copies long")
 
 
 def centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -157,7 +157,7 @@ def deal(packed: DataFrame, overlap: int, cell_max: int = CELL_MAX, cell_aim: in
                 own = batch.take(pa.array(take, pa.int64()))
                 yield pa.RecordBatch.from_arrays([own.column("node"), pa.array(cells, pa.string()), own.column("x"), own.column("copies")], ["node", "cell", "x", "copies"])
 
-        open_rows = materialize(big.join(learned.where("not clump"), "cell").mapInArrow(assign, "node long, cell string, x binary, copies long"), "emb-open")
+        open_rows = materialize(big.join(learned.where("not clump"), "cell").mapInArrow(frugal(assign), "node long, cell string, x binary, copies long"), "emb-open")
     raise RuntimeError("cells did not become small enough")
 
 
@@ -322,7 +322,7 @@ def _grow_across(start: DataFrame, info: DataFrame, threshold: float) -> DataFra
             pairs = pairs.join(seen, ["u", "v"], "left_anti")
         pairs = pairs.join(cells.toDF("u", "cu"), "u").join(cells.toDF("v", "cv"), "v").where(~F.arrays_overlap("cu", "cv")).select("u", "v")
         pairs = pairs.join(vectors.toDF("u", "xa", "ca"), "u").join(vectors.toDF("v", "xb", "cb"), "v")
-        tried = materialize(pairs.mapInArrow(verify, "u long, v long, ca long, cb long, hit boolean"), "emb-tried")
+        tried = materialize(pairs.mapInArrow(frugal(verify), "u long, v long, ca long, cb long, hit boolean"), "emb-tried")
         hits = tried.where("hit")
         linked = hits if linked is None else linked.unionByName(hits)
         if hits.isEmpty():

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare, runs, utf8_views
+from .common import frugal, materialize, prepare, runs, utf8_views
 from .textbytes import ASCII_LOWER, RUN, segment_sums, word_hashes, word_spans
 
 THRESHOLD = 0.3
@@ -164,7 +164,7 @@ def features(docs: DataFrame, id_col: str, text: str) -> DataFrame:
             values = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(FEATURES)), pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), values], ["doc_id", "held_out", "x"])
 
-    return materialize(source.mapInArrow(work, f"doc_id {kind}, held_out boolean, x array<double>"), "quality-features")
+    return materialize(source.mapInArrow(frugal(work), f"doc_id {kind}, held_out boolean, x array<double>"), "quality-features")
 
 
 def learn(feats: DataFrame, labels: DataFrame, label_id: str = "doc_id", label: str = "quality") -> Model:
@@ -189,7 +189,7 @@ def learn(feats: DataFrame, labels: DataFrame, label_id: str = "doc_id", label:
                 [pa.array([k] * len(flat), pa.int32()), pa.array(range(len(flat)), pa.int32()), pa.array(flat)], ["y", "i", "v"]
             )
 
-    total = rows.mapInArrow(work, "y int, i int, v double").groupBy("y", "i").agg(F.sum("v").alias("v")).collect()
+    total = rows.mapInArrow(frugal(work), "y int, i int, v double").groupBy("y", "i").agg(F.sum("v").alias("v")).collect()
     flat = {k: np.zeros(1 + p + p * p) for k in (0, 1)}
     for r in total:
         flat[r["y"]][r["i"]] = r["v"]
@@ -211,7 +211,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                 ["doc_id", "held_out", "score", "predicted"],
             )
 
-    return feats.mapInArrow(work, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return feats.mapInArrow(frugal(work), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -223,4 +223,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text:
         for batch in batches:
             yield batch.filter(pa.array(model.score(batch_statistics(batch.column(text))) >= threshold))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(frugal(work), docs.schema)

@@ -33,8 +33,20 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * PRIME)
 _KEYS = mix(np.arange(1000, 1016, dtype=np.uint64) * PRIME) | _U(1)
 
 
-@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of PRIME and of its inverse; those of a run are kept, a longer text's are not."""
+    if n <= RUN:
+        up, down = _run_powers()
+        return up[:n], down[:n]
+    return _made_powers(n)
+
+
+@lru_cache(maxsize=1)
+def _run_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _made_powers(RUN)
+
+
+def _made_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = _U(pow(int(PRIME), -1, 1 << 64))
     out = []
     for base in (PRIME, inverse):
@@ -66,10 +78,10 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     n = len(raw)
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _powers(max(RUN, n))
+    up, down = _powers(n)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
-    np.cumsum(_BYTE[raw] * up[:n], out=total[1:])
+    np.cumsum(_BYTE[raw] * up, out=total[1:])
     h = (total[ends] - total[starts]) * down[starts]
     return mix(h + (ends - starts).astype(np.uint64) * _KEYS[15])
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, materialize, prepare
+from .common import LOWER, UPPER, frugal, materialize, prepare
 
 SAMPLE = 32
 LAST = "\U0010ffff"
@@ -108,12 +108,12 @@ def innermost_rules(keys: DataFrame, rules: DataFrame, ranges: int | None = None
 
     columns = "part int, key string, rule string, verdict string, n int, host_n int"
     none = [F.lit(None).cast(t).alias(c) for c, t in (("rule", "string"), ("verdict", "string"), ("n", "int"), ("host_n", "int"))]
-    probes = keys.select("key", *none).mapInArrow(deal(False), columns)
-    covers = rules.select("key", "rule", "verdict", "n", "host_n").mapInArrow(deal(True), columns)
+    probes = keys.select("key", *none).mapInArrow(frugal(deal(False)), columns)
+    covers = rules.select("key", "rule", "verdict", "n", "host_n").mapInArrow(frugal(deal(True)), columns)
     events = probes.unionByName(covers).repartition(ranges, "part")
     # a rule stands before an equal key; of rules, the outer (shorter) key sorts first
     ordered = events.sortWithinPartitions("part", "key", F.col("rule").isNull())
-    return ordered.mapInArrow(_sweep, "key string, n int, host_n int, rule string, verdict string")
+    return ordered.mapInArrow(frugal(_sweep), "key string, n int, host_n int, rule string, verdict string")
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:

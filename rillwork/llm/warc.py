@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, prepare
+from .common import fresh_path, frugal, materialize, prepare
 
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -125,7 +125,7 @@ def write_archives(typed: DataFrame, folder: str, roll: int = ROLL) -> DataFrame
             if out is not None:
                 out.close()
 
-    index = typed.mapInArrow(work, f"file string, offset long, length long, page_id {kind}, url string, digest string, record_type string")
+    index = typed.mapInArrow(frugal(work), f"file string, offset long, length long, page_id {kind}, url string, digest string, record_type string")
     return materialize(index, "warc-index")
 
 

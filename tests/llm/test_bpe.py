@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rillwork.llm import bpe, token_counts
@@ -44,22 +45,66 @@ def test_every_character_splits_alike(ours, theirs):
         assert ids(ours.encode(s)) == want.ids, s.encode()
 
 
-def test_streams_in_any_chunks(ours):
+def test_streams_in_any_chunks(ours, theirs):
     rng = random.Random(2)
     for _ in range(1500):
         s = "".join(rng.choice(PIECES) for _ in range(rng.randint(0, 12)))
-        enc, out, at = bpe.StreamEncoder(ours, hold=rng.choice([2, 5, 100])), [], 0
-        while at < len(s):
+        data = s.encode()
+        enc, out, at = bpe.StreamEncoder(ours, hold=rng.choice([2, 5, 100])), b"", 0
+        while at < len(data):
             n = rng.randint(1, 9)
-            out += enc.feed(s[at : at + n])
+            out += enc.feed(data[at : at + n])
             at += n
-        assert out + enc.finish() == ids(ours.encode(s)), s
-        dec = bpe.Decoder(ours.table)
+        assert ids(out + enc.finish()) == theirs.encode(s, add_special_tokens=False).ids, s
+        dec = bpe.Decoder(ours)
         data = ours.encode(s)
         cut = rng.randint(0, len(data) // 4) * 4
         assert dec.feed(data[:cut]) + dec.feed(data[cut:]) + dec.finish() == s
 
 
+def test_runs_of_texts(ours, theirs):
+    rng = random.Random(3)
+    more = [*PIECES, "don't", "'t", "\u2003", "\u3000", " \n", "A1b2", "--", "…", "<|endoftext|", "'ll've", "\x1f", " 's"]
+    for _ in range(300):
+        texts = ["".join(rng.choice(more) for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(0, 8))]
+        column = pa.array([None if not t and rng.random() < 0.5 else t for t in texts], pa.string())
+        found = dict((i, b"".join(parts)) for i, parts in bpe.encoded(ours, column))
+        assert [ids(found[i]) for i in range(len(texts))] == [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)], texts
+
+
+@pytest.mark.parametrize("text", ["ab" * 400_000, "xy " * 300_000, "\u3000" * 200_000, " " * 700_000 + "a", "<|endoftext|>" * 70_000, "12" * 300_000 + "!" * 200_000])
+def test_long_texts_stream_in_constant_memory(ours, theirs, monkeypatch, text):
+    monkeypatch.setattr(bpe, "RUN", 1 << 16)
+    stream, out, held = bpe.StreamEncoder(ours), [], 0
+    data = text.encode()
+    for at in range(0, len(data), 1000):
+        out.append(stream.feed(data[at : at + 1000]))
+        window = len(stream.machine.window) if stream.machine else 0
+        held = max(held, len(stream.rest) + len(stream.text) + window)
+    out.append(stream.finish())
+    want = theirs.encode(text, add_special_tokens=False).ids
+    assert ids(b"".join(out)) == want
+    assert held < 4 * stream.hold + 2 * ours.merges.lookahead + 4000
+    (row, parts), = bpe.encoded(ours, pa.array([text]))
+    assert row == 0 and max(map(len, (parts := list(parts)))) <= 8 * bpe.CHUNK and ids(b"".join(parts)) == want
+
+
+def test_hashes_that_agree_do_not_mix_pieces(ours, monkeypatch):
+    monkeypatch.setattr(bpe.textbytes, "word_hashes", lambda raw, a, b: (b - a).astype(np.uint64))
+    text = "one two six ten 123 456 abc; def;"
+    assert ours.decode(ours.encode(text)) == text
+
+
+def test_kept_pieces_are_bounded():
+    kept = bpe.Kept(limit=5000)
+    for i in range(10_000):
+        kept.put(b"%d" % i, b"x" * 8)
+        assert len(kept.new) + len(kept.old) < 60
+    assert kept.get(b"9999") == b"x" * 8 and kept.get(b"0") is None
+    kept.put(b"x" * 1000, b"")
+    assert kept.get(b"x" * 1000) is None
+
+
 def test_window_stays_within_the_lookahead(ours):
     for word in ("ab" * 4000, "the" * 3000, "=" * 9000, "aaaaabaaab" * 900, "éà" * 2000):
         t, most, out = bpe.Transducer(ours.merges), 0, []
@@ -99,6 +144,7 @@ def test_random_merge_lists(seed):
         word = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 40)))
         want = _plain(m, word)
         assert m.encode_word(word) == want
+        assert ids(bpe.Lanes(m).encode([word])[0]) == want
         t, out = bpe.Transducer(m), []
         t.step = 1
         for k, byte in enumerate(word):
