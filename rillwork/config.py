@@ -2,40 +2,52 @@
 
 from __future__ import annotations
 
+import math
 import os
 from dataclasses import asdict, dataclass, field, replace
 
 
 @dataclass(frozen=True)
-class Features:
-    relief_median_m: tuple[float, ...] = (5.0, 11.0, 21.0)
-    tophat_m: tuple[float, ...] = (11.0, 21.0, 41.0)
-    hessian_sigma_m: tuple[float, ...] = (2.0, 4.0)
-    openness_radius_m: float = 20.0
-    openness_directions: int = 8
+class Terrain:
+    """Windows of the feature bands."""
+
+    relief_windows_m: tuple[float, ...] = (5.0, 11.0, 21.0)
+    tophat_windows_m: tuple[float, ...] = (11.0, 21.0, 41.0)
+    curvature_sigmas_m: tuple[float, ...] = (2.0, 4.0)
+    sky_radius_m: float = 20.0
+    sky_rays: int = 8
 
 
 @dataclass(frozen=True)
-class Channels:
-    narrow_valley: float = 0.03
-    narrow_incision: float = 0.15
-    wide_valley: float = 0.015
-    wide_incision: float = 0.3
-    wide_min_local_incision: float = 0.1
-    min_area_m2: float = 30.0
-    min_length_m: float = 25.0
-    slope_gate: float = 0.10
-    slope_min_upstream_m2: float = 1000.0
+class ValleyShape:
+    """A cell is in a valley of this shape if it is curved and lies deep enough below two closings."""
+
+    sigma_m: float
+    curvature: float
+    depths: tuple[tuple[float, float], ...]  # window of a closing in metres, least depth below it
+
+
+@dataclass(frozen=True)
+class Valleys:
+    """Which cells are channels, and which parts of the map stay."""
+
+    shapes: tuple[ValleyShape, ...] = (ValleyShape(2.0, 0.03, ((11.0, 0.15),)), ValleyShape(4.0, 0.015, ((21.0, 0.3), (11.0, 0.1))))
+    least_part_m2: float = 30.0
+    least_line_m: float = 25.0
     spur_m: float = 10.0
+    steepest: float = 0.10
+    steep_from_m2: float = 1000.0
 
 
 @dataclass(frozen=True)
-class Hydro:
-    breach_max_length_m: float = 100.0
-    breach_max_cost: float = -1.0
-    breach_store_min_cut_m: float = 0.1
-    flat_step_cost: float = 1e-3
-    pond_min_depth_m: float = 0.02
+class Water:
+    """Digging, filling and ponds."""
+
+    dig_reach_m: float = 100.0
+    dig_budget: float = math.inf
+    noted_cut_m: float = 0.1
+    level_step_cost: float = 1e-3
+    pond_depth_m: float = 0.02
 
 
 @dataclass(frozen=True)
@@ -66,9 +78,9 @@ class Candidates:
 
 @dataclass(frozen=True)
 class Config:
-    features: Features = field(default_factory=Features)
-    channels: Channels = field(default_factory=Channels)
-    hydro: Hydro = field(default_factory=Hydro)
+    terrain: Terrain = field(default_factory=Terrain)
+    valleys: Valleys = field(default_factory=Valleys)
+    water: Water = field(default_factory=Water)
     links: Links = field(default_factory=Links)
     candidates: Candidates = field(default_factory=Candidates)
 

@@ -234,72 +234,80 @@ def pond(z: np.ndarray, seed: tuple[int, int], level: float, most: int, cell: fl
     return {"area_m2": len(got) * cell**2, "volume_m3": float(sum(got)) * cell**2, "max_depth": float(max(got)), "truncated": bool(todo)}
 
 
-def pit_flats(z: np.ndarray) -> list[tuple[int, int]]:
-    """One cell of each flat (equal heights, eight-connected) with no lower neighbour and no outlet cell: its first in scan order."""
+def pits(z: np.ndarray) -> list[list[tuple[int, int]]]:
+    """The flats (equal heights, eight-connected) with no lower neighbour and no outlet cell; cells in scan order."""
     edge, h, w = outlets(z), *z.shape
     lower = np.zeros(z.shape, bool)
     for dr, dc in STEPS:
         lower |= shift(z, dr, dc, np.nan) < z
     seen = np.isnan(z) | lower
     out = []
-    for r in range(h):
-        for c in range(w):
-            if seen[r, c]:
-                continue
-            ok, todo = True, [(r, c)]
-            mark = {(r, c)}
-            while todo:
-                i, j = todo.pop()
-                ok &= not (lower[i, j] or edge[i, j])
-                for dr, dc in STEPS:
-                    a, b = i + dr, j + dc
-                    if 0 <= a < h and 0 <= b < w and (a, b) not in mark and z[a, b] == z[i, j]:
-                        mark.add((a, b))
-                        todo.append((a, b))
-            for i, j in mark:
-                seen[i, j] = True
-            if ok:
-                out.append((r, c))
+    for r, c in zip(*(x.tolist() for x in np.nonzero(~seen))):
+        if seen[r, c]:
+            continue
+        ok, todo, mark = True, [(r, c)], {(r, c)}
+        while todo:
+            i, j = todo.pop()
+            ok &= not (lower[i, j] or edge[i, j])
+            for dr, dc in STEPS:
+                a, b = i + dr, j + dc
+                if 0 <= a < h and 0 <= b < w and (a, b) not in mark and z[a, b] == z[i, j]:
+                    mark.add((a, b))
+                    todo.append((a, b))
+        for i, j in mark:
+            seen[i, j] = True
+        if ok:
+            out.append(sorted(mark))
     return out
 
 
-def breach(z: np.ndarray, longest: float = 100.0, cell: float = 1.0, flat: float = 1e-3, keep_cut: float = 0.1) -> tuple[np.ndarray, list[dict]]:
+def pit_flats(z: np.ndarray) -> list[tuple[int, int]]:
+    """The first cell of each pit."""
+    return [cells[0] for cells in pits(z)]
+
+
+def breach(z: np.ndarray, longest: float = 100.0, cell: float = 1.0, flat: float = 1e-3, keep_cut: float = 0.1, budget: float = np.inf) -> tuple[np.ndarray, list[dict]]:
     """Least-cost breaching (Lindsay 2016): from each pit, lowest first, to the first lower cell or outlet by the path with the
-    least digging; the path is cut to a gently falling bed. Returns the surface and the paths cut by keep_cut or more."""
+    least digging, at most `longest` long and `budget` dear; the path is cut to a gently falling bed. The search starts from
+    all cells of the pit at once, and a pit of which any cell drains by then is left. Returns the surface and the paths cut
+    by keep_cut or more."""
     out, edge = z.copy(), outlets(z)
     h, w = z.shape
     paths = []
-    for r, c in sorted(pit_flats(z), key=lambda p: (z[p], p)):
-        level = out[r, c]
-        if any(0 <= r + i < h and 0 <= c + j < w and out[r + i, c + j] < level for i, j in STEPS):
+
+    def around(r: int, c: int):
+        for dr, dc in STEPS:
+            if 0 <= r + dr < h and 0 <= c + dc < w:
+                yield r + dr, c + dc, cell * (ROOT2 if dr and dc else 1.0)
+
+    for flat_cells in sorted(pits(z), key=lambda p: (z[p[0]], p[0])):
+        level, own = z[flat_cells[0]], set(flat_cells)
+        if any(out[p] < level or any(out[i, j] < level for i, j, _ in around(*p)) for p in flat_cells):
             continue
-        cost, came, far = {(r, c): 0.0}, {}, {(r, c): 0.0}
-        heap, target, shut = [(0.0, r, c)], None, set()
-        while heap:
-            k, i, j = heapq.heappop(heap)
-            if (i, j) in shut:
+        reached = {p: (0.0, 0.0, None) for p in flat_cells}  # cost, length, cell before
+        heap, target, shut = [(0.0, p) for p in flat_cells], None, set()
+        while heap and target is None:
+            spent, p = heapq.heappop(heap)
+            if p in shut:
                 continue
-            shut.add((i, j))
-            if (out[i, j] < level or edge[i, j]) and (i, j) != (r, c):
-                target = (i, j)
+            shut.add(p)
+            if p not in own and (out[p] < level or edge[p]):
+                target = p
                 break
-            for dr, dc in STEPS:
-                a, b = i + dr, j + dc
-                if not (0 <= a < h and 0 <= b < w) or np.isnan(out[a, b]) or (a, b) in shut:
-                    continue
-                step = cell * (ROOT2 if dr and dc else 1.0)
-                length = far[i, j] + step
-                if length > longest:
+            far = reached[p][1]
+            for i, j, step in around(*p):
+                q = (i, j)
+                if q in shut or np.isnan(out[q]) or far + step > longest:
                     continue
-                new = k + (max(out[a, b] - level, 0.0) + flat) * step
-                if new < cost.get((a, b), np.inf):
-                    cost[a, b], came[a, b], far[a, b] = new, (i, j), length
-                    heapq.heappush(heap, (new, a, b))
+                new = spent + (max(out[q] - level, 0.0) + flat) * step
+                if new <= budget and new < reached.get(q, (np.inf,))[0]:
+                    reached[q] = new, far + step, p
+                    heapq.heappush(heap, (new, q))
         if target is None:
             continue
         line = [target]
-        while line[-1] != (r, c):
-            line.append(came[line[-1]])
+        while reached[line[-1]][2] is not None:
+            line.append(reached[line[-1]][2])
         line.reverse()
         bed, cuts = level, []
         for p in line[1:]:
@@ -307,7 +315,8 @@ def breach(z: np.ndarray, longest: float = 100.0, cell: float = 1.0, flat: float
             cuts.append(max(out[p] - bed, 0.0))
             out[p] = min(out[p], bed)
         if cuts and max(cuts) >= keep_cut:
-            paths.append({"seed": (r, c), "outlet": target, "length_m": far[target], "max_cut_m": float(max(cuts)), "cost": cost[target], "cells": line})
+            cost, length, _ = reached[target]
+            paths.append({"seed": flat_cells[0], "outlet": target, "length_m": length, "max_cut_m": float(max(cuts)), "cost": cost, "cells": line})
     return out, paths
 
 
@@ -494,16 +503,17 @@ def burn_ring(shape: tuple[int, int], ring: np.ndarray) -> np.ndarray:
     return out
 
 
-def strong_channels(z: np.ndarray, cell: float, p) -> np.ndarray:
-    """Threshold map: narrow or wide valleys by curvature and depth below the closing; p is the channel block of the config."""
+def strong_channels(z: np.ndarray, cell: float, shapes) -> np.ndarray:
+    """Cells in a valley of any of the shapes (config.ValleyShape): by curvature and by depth below closings."""
     from .focal import cells_across
 
-    l1, _ = hessian(z, 2.0, cell)
-    l2, _ = hessian(z, 4.0, cell)
-    d11, d21 = closing_depth(z, cells_across(11.0, cell)), closing_depth(z, cells_across(21.0, cell))
-    narrow = (l1 >= p.narrow_valley) & (d11 >= p.narrow_incision)
-    wide = (l2 >= p.wide_valley) & (d21 >= p.wide_incision) & (d11 >= p.wide_min_local_incision)
-    return narrow | wide
+    out = np.zeros(z.shape, bool)
+    for s in shapes:
+        own = hessian(z, s.sigma_m, cell)[0] >= s.curvature
+        for window, least in s.depths:
+            own &= closing_depth(z, cells_across(window, cell)) >= least
+        out |= own
+    return out
 
 
 def _slide(z: np.ndarray, n: int, f) -> np.ndarray:

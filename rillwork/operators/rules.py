@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import add, and_, mul, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,31 +28,59 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
+def sure(test: Column) -> Column:
+    """The test, with unknown as false."""
+    return F.coalesce(test, F.lit(False))
+
+
+def any_of(*tests: Column) -> Column:
+    return reduce(or_, map(sure, tests))
+
+
+def all_of(*tests: Column) -> Column:
+    return reduce(and_, map(sure, tests))
+
+
+def first_case(cases: list[tuple[str, Column]], otherwise: str) -> Column:
+    """Name of the first case that holds."""
+    return F.coalesce(*[F.when(sure(test), F.lit(name)) for name, test in cases], F.lit(otherwise))
+
+
+def points(table: list[tuple[int, Column]]) -> Column:
+    """Sum of the points of the tests that hold."""
+    return reduce(add, [F.when(sure(test), n).otherwise(0) for n, test in table])
+
+
+def either(*chances: Column) -> Column:
+    """1 - product of (1 - p): the chance of at least one of independent events."""
+    return F.lit(1.0) - reduce(mul, [F.lit(1.0) - p for p in chances])
+
+
 def link_probability(length: Column, rise: Column, prob: Column, mask: Column, road: Column, tier: Column, p: Links = Links()) -> dict[str, Column]:
     """p_link, reason and is_crossing of a link.
 
-    A link through a barrier (it crosses a road or rises by more than rise_sigma_m) with a candidate on it has the
-    candidate's probability by tier. Any other has evidence * barrier * rise: evidence is the larger of the probability and
-    the mask share, raised for short gaps; barrier is road_prior on roads; rise falls off exponentially.
+    At a structure (a candidate of a tier with a probability, where a road or a rise of more than rise_sigma_m blocks the way)
+    it is the tier's probability. Elsewhere it is a product of factors: evidence (probability or mask share, whichever is
+    more, or a short gap), passage (road_prior on a road) and climb (falls off with the rise). Null measures count as 0.
     """
-    zero = F.lit(0.0)
-    prob, mask, rise = (F.coalesce(c, zero) for c in (prob, mask, rise))
-    road = F.coalesce(road, F.lit(False))
-    by_tier = F.coalesce(lookup(tier, dict(p.tier_p), 0.0), zero)
-    through = (road | (rise > p.rise_sigma_m)) & (by_tier > 0)
-    e = F.greatest(prob, mask)
-    evidence = F.lit(1.0) - (F.lit(1.0) - e) * (F.lit(1.0) - F.exp(-length / p.gap_scale_m))
-    own = evidence * F.when(road, F.lit(p.road_prior)).otherwise(F.lit(1.0)) * F.exp(-F.greatest(rise, zero) / p.rise_sigma_m)
-    p_link = F.when(through, by_tier).otherwise(own)
-    reason = F.when(length > p.max_m, "too_long").when(p_link < p.keep_p, "improbable").otherwise("")
-    return {"p_link": p_link, "reason": reason, "is_crossing": through}
+    climb, blocked_by_road = F.greatest(F.coalesce(rise, F.lit(0.0)), F.lit(0.0)), sure(road)
+    seen = F.greatest(*[F.coalesce(c, F.lit(0.0)) for c in (prob, mask)])
+    factors = [
+        either(seen, F.exp(-length / p.gap_scale_m)),
+        F.when(blocked_by_road, p.road_prior).otherwise(1.0),
+        F.exp(-climb / p.rise_sigma_m),
+    ]
+    at_structure = F.coalesce(lookup(tier, dict(p.tier_p), 0.0), F.lit(0.0))
+    is_crossing = all_of(at_structure > 0, any_of(blocked_by_road, climb > p.rise_sigma_m))
+    p_link = F.when(is_crossing, at_structure).otherwise(reduce(mul, factors))
+    return {"p_link": p_link, "reason": first_case([("too_long", length > p.max_m), ("improbable", p_link < p.keep_p)], ""), "is_crossing": is_crossing}
 
 
 def is_minor(kind: Column, river: Column, osm: Column, is_link: Column, width: Column, depth: Column, p: Links = Links()) -> Column:
-    """Links are minor; a drain that is no river and no kept kind is if it is narrow or shallow (missing counts as 0)."""
-    small = (F.coalesce(width, F.lit(0.0)) < p.minor_width_m) | (F.coalesce(depth, F.lit(0.0)) < p.minor_depth_m)
-    plain = (kind == "drain") & ~F.coalesce(river, F.lit(False)) & ~F.coalesce(osm.isin(*p.keep_kinds), F.lit(False))
-    return F.coalesce(is_link, F.lit(False)) | F.coalesce(plain & small, F.lit(False))
+    """Minor are links, and drains under a least width or depth (missing counts as 0) that nothing names a larger water."""
+    least = {p.minor_width_m: width, p.minor_depth_m: depth}
+    under = any_of(*[F.coalesce(size, F.lit(0.0)) < limit for limit, size in least.items()])
+    return any_of(is_link, all_of(under, kind == "drain", ~any_of(osm.isin(*p.keep_kinds), river)))
 
 
 def structure_probability(score: Column, tier: Column, p: Links = Links()) -> Column:
@@ -59,12 +89,9 @@ def structure_probability(score: Column, tier: Column, p: Links = Links()) -> Co
 
 
 def noisy_or(evidence: list[Column], area: Column, middle: float = 4.0, scale: float = 0.5) -> Column:
-    """1 - product of (1 - e) over the evidence and a logistic prior in log10 of the upstream area."""
+    """The evidence and a logistic prior in log10 of the upstream area, as independent chances."""
     prior = logistic((F.log10(F.greatest(area, F.lit(1.0))) - middle) / scale)
-    miss = F.lit(1.0) - prior
-    for e in evidence:
-        miss = miss * (F.lit(1.0) - clip(F.coalesce(e, F.lit(0.0)), 0.0, 1.0))
-    return F.lit(1.0) - miss
+    return either(prior, *[clip(F.coalesce(e, F.lit(0.0)), 0.0, 1.0) for e in evidence])
 
 
 def linear_score(terms: Mapping[str, float], bias: float, river: Column | None = None, floor: float = 0.95) -> Column:
@@ -76,21 +103,34 @@ def linear_score(terms: Mapping[str, float], bias: float, river: Column | None =
     return s if river is None else F.when(F.coalesce(river, F.lit(False)), F.greatest(s, F.lit(floor))).otherwise(s)
 
 
+# The names of candidate sources, by what they show.
+NETWORK_SOURCES = ("bump", "gap")
+ROAD_SOURCES = ("road_end_pair", "road_x_drain")
+TEST_SOURCES = ("testA", "testB")
+# The least points of a tier, and the points of each kind of evidence.
+TIER_POINTS = (("high", 3), ("medium", 2))
+POINTS = {"network": 2, "road": 2, "road source": 1, "several sources": 1}
+
+
 def tier(sources: Column, height: Column, vegetation: Column, road: Column, deck: Column, in_network: Column, use_roads: bool = True, p: Candidates = Candidates()) -> Column:
-    """bridge, bridge_or_open, high, medium or low from an array of source names and measures; null measures count as absent."""
-    h, veg = F.coalesce(height, F.lit(0.0)), F.coalesce(vegetation, F.lit(0.0)) >= p.vegetation_share
-    names = ("testA", "testB", "gap", "bump", "road_x_drain", "road_end_pair")
-    has = {n: F.array_contains(sources, n) for n in names}
-    on_road = F.coalesce(road <= p.road_near_m, F.lit(False)) if use_roads else F.lit(False)
-    road_source = has["road_x_drain"] | has["road_end_pair"] if use_roads else F.lit(False)
-    net = has["gap"] | has["bump"] | F.coalesce(in_network, F.lit(False))
-    count = sum((has[n].cast("int") for n in names), F.lit(0))
-    score = 2 * net.cast("int") + (count >= 2).cast("int") + 2 * on_road.cast("int") + road_source.cast("int")
-    solid = (h >= p.min_height_m) & ~veg
-    return (
-        F.when((road_source | on_road) & (h < p.min_height_m) & F.coalesce(deck >= p.deck_m, F.lit(False)), "bridge")
-        .when(road_source & (h < p.open_below_m), "bridge_or_open").when(solid & (score >= 3), "high").when(solid & (score >= 2), "medium").otherwise("low")
-    )
+    """bridge, bridge_or_open, high, medium or low from an array of source names and measures. Null measures and sources count
+    as absent. A deck over a barrier that hardly rises is a bridge; a bare barrier is ranked by the points of its evidence."""
+
+    def among(names: tuple) -> Column:
+        return F.size(F.array_intersect(F.coalesce(sources, F.array().cast("array<string>")), F.array(*map(F.lit, names))))
+
+    rise = F.coalesce(height, F.lit(0.0))
+    bare = F.coalesce(vegetation, F.lit(0.0)) < p.vegetation_share
+    evidence = {
+        "network": any_of(among(NETWORK_SOURCES) > 0, in_network),
+        "several sources": among(NETWORK_SOURCES + ROAD_SOURCES + TEST_SOURCES) > 1,
+    }
+    roadside = {"road": road <= p.road_near_m, "road source": among(ROAD_SOURCES) > 0} if use_roads else {}
+    strength = points([(POINTS[k], test) for k, test in (evidence | roadside).items()])
+    flat = rise < p.min_height_m
+    special = [("bridge", all_of(flat, deck >= p.deck_m, any_of(*roadside.values()))), ("bridge_or_open", all_of(rise < p.open_below_m, roadside["road source"]))] if use_roads else []
+    ranked = [(name, all_of(~flat, bare, strength >= least)) for name, least in TIER_POINTS]
+    return first_case(special + ranked, "low")
 
 
 def roles(label: Column, near: Column, in_scope: Column) -> dict[str, Column]:

@@ -73,23 +73,23 @@ def per_tile(cells: DataFrame, work: Callable[[np.ndarray, int, int], list[dict]
 
 def feature_stack(cells: DataFrame, cell: float = 1.0, size: int = 512, halo: int = 48) -> DataFrame:
     """Relief, top-hats, curvature and openness bands; no data is filled from the nearest cell and masked again."""
-    from ..config import Features
+    from ..config import Terrain
     from .focal import cells_across
 
-    p = Features()
-    names = [f"relief_{m:g}" for m in p.relief_median_m] + [f"{k}_{m:g}" for m in p.tophat_m for k in ("white", "black")]
-    names += [f"{k}_{m:g}" for m in p.hessian_sigma_m for k in ("valley", "ridge")] + ["open_up", "open_down"]
+    p = Terrain()
+    names = [f"relief_{m:g}" for m in p.relief_windows_m] + [f"{k}_{m:g}" for m in p.tophat_windows_m for k in ("white", "black")]
+    names += [f"{k}_{m:g}" for m in p.curvature_sigmas_m for k in ("valley", "ridge")] + ["open_up", "open_down"]
 
     def kernel(z: np.ndarray) -> dict[str, np.ndarray]:
         gone, f = np.isnan(z), kernels.fill_nodata(z)
-        out = {f"relief_{m:g}": kernels.median_relief(f, cells_across(m, cell)) for m in p.relief_median_m}
-        for m in p.tophat_m:
+        out = {f"relief_{m:g}": kernels.median_relief(f, cells_across(m, cell)) for m in p.relief_windows_m}
+        for m in p.tophat_windows_m:
             n = cells_across(m, cell)
             out[f"white_{m:g}"], out[f"black_{m:g}"] = kernels.opening_height(f, n), kernels.closing_depth(f, n)
-        for m in p.hessian_sigma_m:
+        for m in p.curvature_sigmas_m:
             a, b = kernels.hessian(f, m, cell)
             out[f"valley_{m:g}"], out[f"ridge_{m:g}"] = np.maximum(a, 0), np.maximum(-b, 0)
-        out["open_up"], out["open_down"] = kernels.openness(f, p.openness_radius_m, cell, p.openness_directions)
+        out["open_up"], out["open_down"] = kernels.openness(f, p.sky_radius_m, cell, p.sky_rays)
         return {k: np.where(gone, np.nan, v) for k, v in out.items()}
 
     return run(cells, kernel, dict.fromkeys(names, "double"), size, halo)

@@ -32,10 +32,10 @@ class Engine:
     def hydrology(self, cells: DataFrame) -> DataFrame:
         """row, col, breached, filled, area, order of each cell: breach, fill, route and accumulate inside tiles with halo, so
         upstream areas are those within the tile, as for any tiled run."""
-        p, cell = self.config.hydro, self.cell
+        p, cell = self.config.water, self.cell
 
         def work(z: np.ndarray) -> dict[str, np.ndarray]:
-            breached, _ = kernels.breach(kernels.fill_nodata(z), p.breach_max_length_m, cell, p.flat_step_cost, p.breach_store_min_cut_m)
+            breached, _ = kernels.breach(kernels.fill_nodata(z), p.dig_reach_m, cell, p.level_step_cost, p.noted_cut_m, p.dig_budget)
             filled = kernels.flood_fill(breached)
             direction = kernels.flow_directions(filled)
             area = kernels.accumulate(direction, np.full(z.shape, cell * cell))
@@ -50,22 +50,22 @@ class Engine:
 
     def channels(self, cells: DataFrame) -> DataFrame:
         """row, col, channel, line: thresholded channels without small parts, and their pruned one-cell lines."""
-        p, cell = self.config.channels, self.cell
+        p, cell = self.config.valleys, self.cell
 
         def work(z: np.ndarray) -> dict[str, np.ndarray]:
             f = kernels.fill_nodata(z)
-            strong = kernels.drop_small(kernels.strong_channels(f, cell, p), max(1, round(p.min_area_m2 / cell**2)))
+            strong = kernels.drop_small(kernels.strong_channels(f, cell, p.shapes), max(1, round(p.least_part_m2 / cell**2)))
             return {"channel": strong & ~np.isnan(z), "line": kernels.prune(kernels.thin(strong), p.spur_m, cell)}
 
         return tiles.run(cells, work, {"channel": "boolean", "line": "boolean"}, self.tile, self.halo)
 
     def barriers(self, cells: DataFrame) -> DataFrame:
         """Candidates where a breach goes through a barrier: id, x, y, height_m, length_m, kept once over tile halos."""
-        p, h, cell = self.config.candidates, self.config.hydro, self.cell
+        p, h, cell = self.config.candidates, self.config.water, self.cell
 
         def work(z: np.ndarray, r: int, c: int) -> list[dict]:
             out = []
-            breached, paths = kernels.breach(kernels.fill_nodata(z), h.breach_max_length_m, cell, h.flat_step_cost, h.breach_store_min_cut_m)
+            breached, paths = kernels.breach(kernels.fill_nodata(z), h.dig_reach_m, cell, h.level_step_cost, h.noted_cut_m, h.dig_budget)
             for path in paths:
                 found = kernels.cut_through(z, path["cells"], np.array([z[q] - breached[q] for q in path["cells"]]), cell)
                 if found and found["height_m"] >= p.min_height_m:

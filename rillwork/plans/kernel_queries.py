@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..config import Channels
+from ..config import Valleys
 from ..operators import kernels, learn, tiles
 from .views import Catalogue, cand, over, ras
 
@@ -32,7 +32,7 @@ _map("accumulate", {"area": "double"}, lambda z: {"area": kernels.accumulate(ker
 _map("thin", {"line": "boolean"}, lambda z: {"line": kernels.thin(z > 0.05)})
 _map("hysteresis", {"kept": "boolean"}, lambda z: {"kept": kernels.hysteresis(z > 0.1, z > 0.3)})
 _map("drop_small", {"kept": "boolean"}, lambda z: {"kept": kernels.drop_small(z > 0.1, 4)})
-_map("threshold_channels", {"strong": "boolean"}, lambda z: {"strong": kernels.strong_channels(z * 10, 1.0, Channels())})
+_map("threshold_channels", {"strong": "boolean"}, lambda z: {"strong": kernels.strong_channels(z * 10, 1.0, Valleys().shapes)})
 _map("stream_order", {"stream_order": "int"}, lambda z: (lambda k: {"stream_order": kernels.strahler_streams(k, kernels.accumulate(k, np.ones_like(z)), 8.0)})(kernels.flow_directions(kernels.flood_fill(z))))
 _map("prune_spurs", {"line": "boolean"}, lambda z: {"line": kernels.prune(kernels.thin(z > 0.0), 4.0)})
 
