@@ -8,10 +8,12 @@ filters; every surviving pair is verified once on whole texts.
    are one node from here on, so exact copies make no pairs.
 3. Stars: nodes that share a minimum hash are verified against the group's least node only. This links the bulk of large
    groups of near copies with a number of pairs in proportion to the number of nodes.
-4. Prefix join: only n-grams whose postings lie in two or more of the star components can bring anything new. These
+4. Crowds: where an n-gram's postings still make many pairs of different components, its nodes are verified against a leader
+   picked anew in each round, as long as a round closes a quarter of these pairs.
+5. Prefix join: only n-grams whose postings lie in two or more of the components can bring anything new. These
    postings are joined on the n-gram with the length and positional filters, and the distinct pairs pass the suffix filter
    (a bound on the Hamming distance by counts of hash ranges).
-5. Rounds: of the pairs between any two components the most promising ones are verified first; pairs whose components have
+6. Rounds: of the pairs between any two components the most promising ones are verified first; pairs whose components have
    met since are settled without verification. A pair is passed over only if links already connect it, so the components
    are those of all links, and no pair is verified twice.
 
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, materialize, prepare, runs, utf8_views
+from .common import Scratch, frugal, materialize, prepare, runs, utf8_views
 from .graph import components
 from .textbytes import ASCII_LOWER, RUN, mix, shingle_hashes, word_hashes, word_spans
 
@@ -47,6 +49,9 @@ RANGES = 256
 MEMBERS = 512  # of one leader in a task
 STAR_QUOTAS = (0,)  # first each node's best leader, then all that are not connected by that
 PAIR_QUOTAS = (1, 64)  # first the best pair of any two components, then 64, then all that are left
+CROWD = 8  # open pairs a posting from which an n-gram is a crowd
+TURN_PAIRS = 16  # of a node in a round over crowds
+MOST_TURNS = 16
 FILTER_BITS = 24
 _U = np.uint64
 
@@ -117,9 +122,9 @@ def counters(docs: DataFrame, text: str, size: int) -> np.ndarray:
         yield _pieces(total)
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = docs.select(F.col(text).alias("text")).mapInArrow(count, "piece int, counts binary").repartition(parts, "piece")
+    sent = docs.select(F.col(text).alias("text")).mapInArrow(frugal(count), "piece int, counts binary").repartition(parts, "piece")
     table = np.zeros(BUCKETS, np.int64)
-    for row in sent.mapInArrow(merge, "piece int, counts binary").collect():  # BUCKETS counters in all
+    for row in sent.mapInArrow(frugal(merge), "piece int, counts binary").collect():  # BUCKETS counters in all
         table[row["piece"] * PIECE : (row["piece"] + 1) * PIECE] = np.frombuffer(zlib.decompress(row["counts"]), "<i8")
     return np.minimum(table, np.iinfo(np.int32).max).astype(np.int32)
 
@@ -157,7 +162,7 @@ def profiles(docs: DataFrame, id_col: str, text: str, size: int, percent: int, s
                 ["doc_id", "mark", "n", "s1", "s2", "keys", "prefix", "ranges"],
             )
 
-    out = source.mapInArrow(work, f"doc_id {kind}, mark long, n int, s1 long, s2 long, keys array<long>, prefix array<long>, ranges binary")
+    out = source.mapInArrow(frugal(work), f"doc_id {kind}, mark long, n int, s1 long, s2 long, keys array<long>, prefix array<long>, ranges binary")
     return scratch.keep(out.withColumn("row", F.monotonically_increasing_id()), "profiles")
 
 
@@ -176,16 +181,18 @@ def in_bitmap(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (words[(low >> _U(6)).astype(np.int64)] >> (low & _U(63))) & _U(1) == 1
 
 
-def only(table: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """The table without most rows whose column is not among the keys (`key`), so that they are not shuffled to a join."""
+def only(table: DataFrame, column: str, keys: DataFrame, then=None, ddl: str | None = None) -> DataFrame:
+    """The table without most rows whose column is not among the keys (`key`), so that they are not shuffled to a join; `then`
+    makes rows of type `ddl` of each batch that is left, in the same worker."""
     words = bitmap(keys.select(F.xxhash64("key").alias("key")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = in_bitmap(words, batch.column(batch.num_columns - 1).to_numpy())
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(hit))
+            found = pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(hit))
+            yield then(found) if then else found
 
-    return table.withColumn("__key", F.xxhash64(column)).mapInArrow(work, table.schema)
+    return table.withColumn("__key", F.xxhash64(column)).mapInArrow(frugal(work), ddl or table.schema)
 
 
 def fetch(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text: str, scratch: Scratch) -> DataFrame:
@@ -193,13 +200,12 @@ def fetch(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, tex
     where = scratch.keep(nodes.select("node", "doc_id", "mark").join(wanted, "node"), "where")
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = [zlib.compress(cell.as_buffer(), 1) if cell.is_valid else None for cell in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(data, pa.binary())], ["doc_id", "mark", "text"])
+    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data = [zlib.compress(cell.as_buffer(), 1) if cell.is_valid else None for cell in batch.column("text")]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(data, pa.binary())], ["doc_id", "mark", "text"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    d = only(source, "mark", where.select(F.col("mark").alias("key"))).mapInArrow(pack, f"doc_id {kind}, mark long, text binary").alias("d")
+    d = only(source, "mark", where.select(F.col("mark").alias("key")), pack, f"doc_id {kind}, mark long, text binary").alias("d")
     joined = d.join(where.alias("w"), (F.col("d.mark") == F.col("w.mark")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
     out = scratch.keep(joined.select("w.node", "d.text"), "texts")
     scratch.release()
@@ -232,13 +238,15 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int, scratch:
                     group, leader, last = (v[i], salt[i]), None, None
                 if not member[i]:
                     leader = own
-                elif node[i] != last and leader is not None and linked(own, leader, percent):
+                elif leader is None:
+                    raise RuntimeError(f"the text of node {v[i]} did not arrive")
+                elif node[i] != last and linked(own, leader, percent):
                     us.append(node[i])
                     vs.append(v[i])
                 last = node[i]
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    out = scratch.keep(rows.mapInArrow(work, "u long, v long"), "links")
+    out = scratch.keep(rows.mapInArrow(frugal(work), "u long, v long"), "links")
     scratch.release()
     return out
 
@@ -252,41 +260,100 @@ def reopen(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.join(named.where("nu <> nv"), ["lu", "lv"]).select("u", "v", "c", F.col("nu").alias("lu"), F.col("nv").alias("lv"))
 
 
+def decide(pairs: DataFrame, links: DataFrame | None, nodes: DataFrame, docs: DataFrame, id_col: str, text: str, size: int, percent: int, scratch: Scratch):
+    """Filter and verify pairs (u, v, c). Returns all links so far, the new ones and the components."""
+    chosen = scratch.keep(passes_ranges(pairs.select("u", "v", "c"), nodes.select("node", "n", "ranges"), percent, scratch), "chosen")
+    scratch.drop("ranges")
+    texts = fetch(chosen.select(F.explode(F.array("u", "v")).alias("node")).distinct(), nodes, docs, id_col, text, scratch)
+    new = verify(chosen.select("u", "v"), texts, size, percent, scratch)
+    scratch.drop("texts")
+    links = new if links is None else links.unionByName(new)
+    return links, new, components(links)
+
+
 def settle(pairs: DataFrame, links: DataFrame | None, known: DataFrame | None, nodes: DataFrame, docs: DataFrame, id_col: str, text: str, size: int, percent: int, quotas: tuple, scratch: Scratch):
-    """Filter and verify pairs (u, v, c: how promising, lu and lv: components) in rounds until every pair is decided or
-    connected. quotas: pairs of two components in each round; then all that are left. Returns links and components."""
+    """Decide pairs (u, v, c: how promising, lu and lv: components; stored) in rounds until every pair is decided or connected.
+    quotas: pairs of two components in each round; then all that are left. Returns links and components.
+
+    The best pairs are taken by a row number under a limit, which Spark also applies before the shuffle: a task sends at most
+    the quota of two components, however many pairs they have."""
     best = Window.partitionBy(F.least("lu", "lv"), F.greatest("lu", "lv")).orderBy(F.desc("c"), "u", "v")
     own = Window.partitionBy("u").orderBy(F.desc("c"), "v")
     for quota in (*quotas, None):
         if quota is None:
-            ranked = pairs.withColumn("now", F.lit(True))
-        elif quota == 0:  # one pair a node
-            ranked = pairs.withColumn("now", F.row_number().over(own) == 1)
+            now = pairs
         else:
-            ranked = pairs.withColumn("now", F.row_number().over(best) <= quota)
-        ranked = scratch.keep(ranked.select("u", "v", "c", "lu", "lv", "now"), "ranked")
-        if ranked.isEmpty():
+            now = pairs.withColumn("place", F.row_number().over(best if quota else own)).where(F.col("place") <= max(quota, 1)).drop("place")
+            now = scratch.keep(now, "now")
+        if now.isEmpty():
             break
-        chosen = scratch.keep(passes_ranges(ranked.where("now").select("u", "v", "c"), nodes.select("node", "n", "ranges"), percent), "chosen")
-        texts = fetch(chosen.select(F.explode(F.array("u", "v")).alias("node")).distinct(), nodes, docs, id_col, text, scratch)
-        new = verify(chosen.select("u", "v"), texts, size, percent, scratch)
-        scratch.drop("texts")
-        links = new if links is None else links.unionByName(new)
-        known = components(links)
-        pairs = reopen(ranked.where("not now").select("u", "v", "c", "lu", "lv"), known)
+        links, _, known = decide(now, links, nodes, docs, id_col, text, size, percent, scratch)
+        if quota is not None:
+            pairs = scratch.keep(reopen(pairs.join(now.select("u", "v"), ["u", "v"], "left_anti"), known), "left")
     return links, known
 
 
+def crowds(postings: DataFrame) -> DataFrame:
+    """gram, c, open: postings of each n-gram, and how many pairs of them are in different components."""
+    by_label = postings.groupBy("gram", "label").agg(F.count("*").alias("m"))
+    sums = by_label.groupBy("gram").agg(F.sum("m").alias("c"), F.sum(F.col("m").cast("double") * F.col("m")).alias("squares"))
+    return sums.select("gram", "c", ((F.col("c").cast("double") * F.col("c") - F.col("squares")) / 2).alias("open"))
+
+
+def thin_crowds(postings: DataFrame, links: DataFrame | None, known: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text: str, size: int, percent: int, scratch: Scratch):
+    """Connects large groups of near copies before the join: while n-grams have many more pairs of different components than
+    postings, each node of such an n-gram is verified against a leader of it, picked anew in every round by hash, so that the
+    pairs of a round are no more than the postings. Ends when no crowd is left or a round has not closed a quarter of its open pairs; the
+    join that follows is over all pairs that are still open, so nothing depends on how far this comes.
+
+    postings: node, n, label, pos, gram. Returns the postings of n-grams that are still in several components, links,
+    components and the pairs (u, v) that were decided (None if none was)."""
+    tried, before = None, float("inf")
+    for turn in range(MOST_TURNS):
+        crowd = scratch.keep(crowds(postings).where(F.col("open") > CROWD * F.col("c")).select("gram", "open"), "crowd")
+        left = crowd.agg(F.sum("open")).first()[0]
+        if left is None or left > 0.75 * before:
+            break
+        before, crowd = left, crowd.select("gram")
+        inside = postings.join(crowd, "gram")
+        mark = F.struct(F.xxhash64("node", "gram", F.lit(turn)).alias("mark"), *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "label", "pos")])
+        leaders = scratch.keep(inside.groupBy("gram").agg(F.min(mark).alias("m")).select("gram", "m.*"), "crowd-leaders")
+        rows = inside.join(leaders, "gram").where(F.col("label") != F.col("label_b"))
+        need = _may_link(F.col("n"), F.col("n_b"), percent)
+        rows = rows.where(F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b")) >= need)
+        rows = rows.where(percent * F.greatest("n", "n_b").cast("long") <= 100 * F.least("n", "n_b").cast("long"))
+        # as in the join, u is the end with fewer n-grams
+        forward = F.struct("n", "node") < F.struct("n_b", "node_b")
+        ends = rows.select("node", F.when(forward, F.col("node")).otherwise(F.col("node_b")).alias("u"), F.when(forward, F.col("node_b")).otherwise(F.col("node")).alias("v"))
+        pairs = ends.groupBy("node", "u", "v").agg(F.count("*").alias("c"))
+        if tried is not None:
+            pairs = pairs.join(tried, ["u", "v"], "left_anti")
+        few = Window.partitionBy("node").orderBy(F.desc("c"), "u", "v")  # at most a prefix's n-grams
+        pairs = pairs.withColumn("place", F.row_number().over(few)).where(F.col("place") <= TURN_PAIRS).groupBy("u", "v").agg(F.max("c").alias("c"))
+        pairs = scratch.keep(pairs, "crowd-pairs")
+        if pairs.isEmpty():
+            break
+        links, new, known = decide(pairs, links, nodes, docs, id_col, text, size, percent, scratch)
+        tried = pairs.select("u", "v") if tried is None else tried.unionByName(pairs.select("u", "v"))
+        if new.isEmpty():
+            break
+        named = postings.drop("label").join(known, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), "pos", "gram")
+        apart = named.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
+        postings = scratch.keep(named.join(apart, "gram"), f"postings-{turn}")
+        scratch.drop("postings" if turn == 0 else f"postings-{turn - 1}")
+    return postings, links, known, tried
+
+
 def _may_link(n, m, percent: int):
     """The least overlap of sets of n and m as a column, in whole numbers."""
     x = (n + m).cast("long") * percent + (99 + percent)
     return ((x - x % (100 + percent)) / (100 + percent)).cast("long")
 
 
-def passes_ranges(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def passes_ranges(pairs: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The suffix filter on pairs (u, v, c): |a - b| + |b - a| is at least the summed differences of the counts in fixed hash
     ranges (counts over 255 stand for 255, which only lowers the sum), and at most n + m - 2 * least overlap for a link."""
-    own = only(nodes.select("node", "n", "ranges"), "node", pairs.select(F.explode(F.array("u", "v")).alias("key")))
+    own = scratch.keep(only(nodes.select("node", "n", "ranges"), "node", pairs.select(F.explode(F.array("u", "v")).alias("key"))), "ranges")
     a = own.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("ranges").alias("ru"))
     b = own.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("ranges").alias("rv"))
 
@@ -297,7 +364,7 @@ def passes_ranges(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
             room = n + m - 2 * least_overlap(n, m, percent)
             yield batch.select(["u", "v", "c"]).filter(pa.array(np.abs(x - y).sum(1) <= room))
 
-    return pairs.join(a, "u").join(b, "v").mapInArrow(work, "u long, v long, c long")
+    return pairs.join(a, "u").join(b, "v").mapInArrow(frugal(work), "u long, v long, c long")
 
 
 def _gram_rows(nodes: DataFrame, words: np.ndarray) -> DataFrame:
@@ -317,7 +384,7 @@ def _gram_rows(nodes: DataFrame, words: np.ndarray) -> DataFrame:
                 ["node", "n", "label", "pos", "gram"],
             )
 
-    return nodes.select("node", "n", "label", "prefix").mapInArrow(work, "node long, n int, label long, pos int, gram long")
+    return nodes.select("node", "n", "label", "prefix").mapInArrow(frugal(work), "node long, n int, label long, pos int, gram long")
 
 
 def linked_rows(docs: DataFrame, id_col: str, text: str, size: int, percent: int) -> DataFrame:
@@ -350,7 +417,8 @@ def linked_rows(docs: DataFrame, id_col: str, text: str, size: int, percent: int
     mixed = scratch.keep(grams.where("low <> high").select("gram"), "mixed")
     scratch.release()
     words = bitmap(mixed.select(F.col("gram").alias("key")))
-    postings = scratch.keep(_gram_rows(named, words).join(mixed, "gram"), "postings")
+    postings = scratch.keep(_gram_rows(named, words).join(mixed, "gram").select("node", "n", "label", "pos", "gram"), "postings")
+    postings, links, known, tried = thin_crowds(postings, links, known, nodes, docs, id_col, text, size, percent, scratch)
     a = postings.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "label", "pos")])
     b = postings.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "label", "pos")])
     near = (
@@ -366,7 +434,8 @@ def linked_rows(docs: DataFrame, id_col: str, text: str, size: int, percent: int
         F.least(F.first("n_a") - F.max("pos_a"), F.first("n_b") - F.max("pos_b")).alias("from_last"),
     )
     need = _may_link(F.col("nu"), F.col("nv"), percent)
-    found = scratch.keep(matches.where(F.col("c") + F.col("from_last") - 1 >= need).select("u", "v", "c", "lu", "lv"), "pairs")
+    matches = matches.where(F.col("c") + F.col("from_last") - 1 >= need).select("u", "v", "c", "lu", "lv")
+    found = scratch.keep(matches if tried is None else matches.join(tried, ["u", "v"], "left_anti"), "pairs")
     scratch.drop("postings")
     scratch.release()
     links, known = settle(found, links, known, nodes, docs, id_col, text, size, percent, PAIR_QUOTAS, scratch)
