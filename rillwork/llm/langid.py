@@ -1,14 +1,18 @@
 """Language identification in two levels: a linear machine chooses the language family, then one-versus-one linear support
 vector machines separate the languages inside it.
 
-A text is the square roots of its hashed letter-trigram counts, scaled to length 1. The machines are trained here by dual
+A text is the square roots of its hashed letter-trigram counts, scaled to length 1. The machines are trained by dual
 coordinate descent on a bounded sample: about PER_LANGUAGE rows of each language, chosen by hash from all labelled rows
-that are not held out; the bound is that parameter, and everything else covers all rows.
-
-Defined cases: null text or one without a letter is `und` with score 0; a null language is not learned from; languages
-with fewer than MIN_ROWS labelled rows, and all but the MAX_LANGUAGES most frequent, are not learned, and their texts get the
-nearest learned language; without any learned language, every text is `und`; one learned
-language is predicted for every text with a letter, with score 1.
+that are not held out; a family's machine sees its own rows of that sample against REST rows of all languages alike. These
+bounds are parameters; every language with a labelled row is learned, and everything else covers all rows. Machines are
+trained side by side on the executors; only the REST rows and the weights (one vector a family and a pair of languages in
+it) come to the driver.
+
+Defined cases: null text or one without a letter is `und` with score 0; a null language is not learned from; rows that are
+repeated in id and text are learned from once; without any learned language, every text is `und`; one learned language is
+predicted for every text with a letter, with score 1; a tie goes to the family or language that comes first by code point;
+a text of any length is read whole, in a run of its own if it is long; other columns are not read, so their names can't
+clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,15 +22,15 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, prepare, runs, utf8_views
+from .common import frugal, materialize, prepare, runs, utf8_views
 
 PER_LANGUAGE = 400
-MIN_ROWS = 5
-MAX_LANGUAGES = 200
+REST = 2000
 BITS = 12
 RUN = 1 << 19
 UNDETERMINED = "und"
@@ -90,11 +94,15 @@ def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 30,
     norm = np.einsum("ij,ij->i", x, x) + diag
     alpha, w, rng = np.zeros(len(x)), np.zeros(x.shape[1]), np.random.default_rng(seed)
     for _ in range(rounds):
+        most = 0.0
         for i in rng.permutation(len(x)):
             new = max(alpha[i] - (y[i] * (w @ x[i]) - 1 + diag[i] * alpha[i]) / norm[i], 0.0)
             if new != alpha[i]:
+                most = max(most, abs(new - alpha[i]))
                 w += (new - alpha[i]) * y[i] * x[i]
                 alpha[i] = new
+        if most < 1e-3:
+            break
     return w
 
 
@@ -141,22 +149,38 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def fit(x: np.ndarray, lang: list[str]) -> Model:
-    codes = np.array(lang, dtype=object)
-    known = sorted(set(lang))
-    if not known:
-        return Model()
+def layout(languages: list[str]) -> Model:
+    """A model without weights."""
+    known = sorted(set(languages))
     families = sorted({family(c) for c in known})
-    model = Model(families, [[c for c in known if family(c) == f] for f in families])
-    group = np.array([families.index(family(c)) for c in lang])
-    if len(families) > 1:
-        model.top = np.stack([train_svm(x, np.where(group == f, 1.0, -1.0)) for f in range(len(families))])
+    return Model(families, [[c for c in known if family(c) == f] for f in families], None, [[] for _ in families])
+
+
+def machines_of(model: Model) -> dict[str, list[str]]:
+    """The machines that each language's rows are positive or negative examples of: its family's, and its duels."""
+    out: dict[str, list[str]] = {}
     for f, languages in enumerate(model.of):
-        duels = []
+        for code in languages:
+            out[code] = [f"{f}"] if len(model.families) > 1 else []
         for i, j in combinations(range(len(languages)), 2):
-            rows = (codes == languages[i]) | (codes == languages[j])
-            duels.append((i, j, train_svm(x[rows], np.where(codes[rows] == languages[i], 1.0, -1.0))))
-        model.pairs.append(duels)
+            for k in (i, j):
+                out[languages[k]].append(f"{f}.{i}.{j}")
+    return out
+
+
+def train_machine(name: str, x: np.ndarray, lang: np.ndarray, model: Model, rest_x: np.ndarray, rest_lang: np.ndarray) -> np.ndarray:
+    f, *duel = map(int, name.split("."))
+    if duel:
+        return train_svm(x, np.where(lang == model.of[f][duel[0]], 1.0, -1.0))
+    others = np.array([family(c) != model.families[f] for c in rest_lang], bool)
+    return train_svm(np.vstack([x, rest_x[others]]), np.append(np.ones(len(x)), -np.ones(others.sum())))
+
+
+def fill(model: Model, weights: dict[str, np.ndarray]) -> Model:
+    if len(model.families) > 1:
+        model.top = np.stack([weights[f"{f}"] for f in range(len(model.families))])
+    for f, languages in enumerate(model.of):
+        model.pairs[f] = [(i, j, weights[f"{f}.{i}.{j}"]) for i, j in combinations(range(len(languages)), 2)]
     return model
 
 
@@ -164,29 +188,47 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
+def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, rest: int = REST) -> Model:
     """Fit on about per_language rows of each language: those whose hash lies under the language's own threshold."""
-    prepare(docs.sparkSession)
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(id_col))
-    counts = rows.groupBy(F.col(lang).alias("l")).count().where(F.col("count") >= MIN_ROWS).orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return Model()
+    spark = prepare(docs.sparkSession)
     h = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text)), 1)
-    below = F.lit(None).cast("long")
-    for r in counts:
-        below = F.when(F.col(lang) == r["l"], F.lit(min(int(per_language / r["count"] * (1 << 63)), (1 << 63) - 1))).otherwise(below)
-    sample = rows.where(h <= below).select(F.col(lang).alias("lang"), F.col(text).alias("text"), h.alias("h"))
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(id_col)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), h.alias("h"))
+    counts = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")), "lang-counts")
+    model = layout([r["lang"] for r in counts.select("lang").collect()])  # the model has every language
+    if not model.families:
+        return model
+    named = machines_of(model)
+    machines = spark.createDataFrame(list(named.items()), "lang string, machines array<string>")
+    # the rows of a repeated text share a hash, so they are one row here and a language's sample stays bounded
+    sample = rows.join(counts.join(machines, "lang"), "lang").where(F.col("h") <= F.least(F.lit(float(per_language)) / F.col("n"), F.lit(1.0)) * float((1 << 63) - 1))
+    sample = sample.dropDuplicates(["h", "lang"]).select("h", "lang", "text", "machines", (F.col("h") <= F.lit(rest / len(named)) / F.col("n") * float(1 << 63)).alias("rest"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             off, raw = utf8_views(batch.column("text"))
             x = [vectors(raw[off[a] : off[b]], off[a : b + 1] - off[a]).astype(np.float16) for a, b in runs(off, RUN)]
             packed = [row.tobytes() for part in x for row in part]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("lang"), pa.array(packed, pa.binary())], ["h", "lang", "x"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("h"), batch.column("lang"), batch.column("machines"), batch.column("rest"), pa.array(packed, pa.binary())], ["h", "lang", "machines", "rest", "x"]
+            )
+
+    ready = materialize(sample.mapInArrow(frugal(work), "h long, lang string, machines array<string>, rest boolean, x binary"), "lang-sample")
+    found = ready.where("rest").orderBy("h", "lang").limit(4 * rest).select("lang", "x").collect() if len(model.families) > 1 else []  # about REST rows
+    rest_x, rest_lang = unpacked([r["x"] for r in found]), np.array([r["lang"] for r in found], object)
+
+    def train(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["h", "lang"])
+        name = pdf["machine"].iloc[0]
+        w = train_machine(name, unpacked(list(pdf["x"])), pdf["lang"].to_numpy(), model, rest_x, rest_lang)
+        return pd.DataFrame({"machine": [name], "w": [w.astype("<f8").tobytes()]})
+
+    parts = ready.select("h", "lang", "x", F.explode("machines").alias("machine"))
+    weights = parts.groupBy("machine").applyInPandas(train, "machine string, w binary").collect()
+    return fill(model, {r["machine"]: np.frombuffer(r["w"], "<f8") for r in weights})
+
 
-    found = sample.mapInArrow(frugal(work), "h long, lang string, x binary").orderBy("h", "lang").limit(2 * per_language * len(counts)).collect()
-    x = np.array([np.frombuffer(r["x"], np.float16) for r in found], np.float32).reshape(len(found), -1)
-    return fit(x, [r["lang"] for r in found])
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.float16).reshape(len(rows), 1 << BITS).astype(np.float32)
 
 
 def predict_column(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:

@@ -189,7 +189,7 @@ def learn(feats: DataFrame, labels: DataFrame, label_id: str = "doc_id", label:
                 [pa.array([k] * len(flat), pa.int32()), pa.array(range(len(flat)), pa.int32()), pa.array(flat)], ["y", "i", "v"]
             )
 
-    total = rows.mapInArrow(frugal(work), "y int, i int, v double").groupBy("y", "i").agg(F.sum("v").alias("v")).collect()
+    total = rows.mapInArrow(frugal(work), "y int, i int, v double").groupBy("y", "i").agg(F.sum(F.col("v").cast("decimal(38,12)")).cast("double").alias("v")).collect()  # exact, so in any order
     flat = {k: np.zeros(1 + p + p * p) for k in (0, 1)}
     for r in total:
         flat[r["y"]][r["i"]] = r["v"]
