@@ -370,17 +370,10 @@ def neighbour_counts(spark, d):
     return catalog.neighbour_counts(t).select("tile", "n_near", "n_same", "survey_edge")
 
 
-@C.add("partition_tiles", over("cand", """, x AS (SELECT DISTINCT kind AS slug, 'AB' || lpad((tile)::VARCHAR, 2, '0') || '_5000_0101' AS tile FROM cand WHERE tile < 10 AND (length(kind) + tile) % 3 > 0),
+@C.add("partition_tiles", over("cand", """, x AS (SELECT DISTINCT kind AS slug, 'AB' || lpad((tile)::VARCHAR, 2, '0') || '_5000_0101' AS tile FROM cand WHERE (length(kind) + tile) % 3 > 0),
   e AS (SELECT slug, tile, '20' || lpad((length(slug))::VARCHAR, 2, '0') AS "end" FROM x), l AS (SELECT tile, max({'e': "end", 's': slug}) AS m, string_agg(slug, ',' ORDER BY slug) AS surveys FROM e GROUP BY tile)
   SELECT tile, m.s AS latest_survey, surveys, split_part(tile, '_', 1) AS sheet, m.s < '3' AS has_dsm, split_part(tile, '_', 1) < 'AB05' AS in_national FROM l"""))
 def partition_tiles(spark, d):
-    return _partition_tiles(cand(spark, d).where("tile < 10"))
-
-
-@C.add("partition_tiles_all", over("cand", """, x AS (SELECT DISTINCT kind AS slug, 'AB' || lpad((tile)::VARCHAR, 2, '0') || '_5000_0101' AS tile FROM cand WHERE (length(kind) + tile) % 3 > 0),
-  e AS (SELECT slug, tile, '20' || lpad((length(slug))::VARCHAR, 2, '0') AS "end" FROM x), l AS (SELECT tile, max({'e': "end", 's': slug}) AS m, string_agg(slug, ',' ORDER BY slug) AS surveys FROM e GROUP BY tile)
-  SELECT tile, m.s AS latest_survey, surveys, split_part(tile, '_', 1) AS sheet, m.s < '3' AS has_dsm, split_part(tile, '_', 1) < 'AB05' AS in_national FROM l"""))
-def partition_tiles_all(spark, d):
     return _partition_tiles(cand(spark, d))
 
 

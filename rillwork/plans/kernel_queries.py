@@ -21,10 +21,15 @@ def _map(name, outputs, kernel, sql=None):
     return query
 
 
-_map("median_relief", {"relief": "double"}, lambda z: {"relief": kernels.median_relief(z, 5)})
+_map("median_relief", {"relief": "double"}, lambda z: {"relief": kernels.median_relief(z, 5)}, over("ras", """, e AS (SELECT max("row") AS mr, max(col) AS mc FROM ras), k AS (SELECT unnest(range(-2, 3)) AS k),
+  n AS (SELECT a."row", a.col, a.z, least(greatest(a."row" + i.k, 0), mr) AS r, least(greatest(a.col + j.k, 0), mc) AS c FROM ras a, e, k i, k j)
+  SELECT n."row", n.col, n.z - quantile_cont(b.z, 0.5) AS relief FROM n JOIN ras b ON b."row" = n.r AND b.col = n.c GROUP BY n."row", n.col, n.z"""))
 _map("gaussian_curvature", {"valley": "double", "ridge": "double"}, lambda z: dict(zip(("valley", "ridge"), kernels.hessian(z, 1.0))))
 _map("openness", {"up": "double", "down": "double"}, lambda z: dict(zip(("up", "down"), kernels.openness(z, 5.0))))
-_map("distance_to_mask", {"dist": "double"}, lambda z: {"dist": kernels.nearest(z > 0.25, 15)[0]})
+_map("distance_to_mask", {"dist": "double"}, lambda z: {"dist": kernels.nearest(z > 0.25, 15)[0]}, over("ras", """, k AS (SELECT unnest(range(-15, 16)) AS k),
+  o AS (SELECT i.k AS dr, j.k AS dc, i.k * i.k + j.k * j.k AS s FROM k i, k j WHERE i.k * i.k + j.k * j.k <= 225),
+  n AS (SELECT m."row" + dr AS "row", m.col + dc AS col, min(s) AS s FROM ras m, o WHERE m.z > 0.25 GROUP BY 1, 2)
+  SELECT a."row", a.col, coalesce(sqrt(s), 'Infinity'::DOUBLE) AS dist FROM ras a LEFT JOIN n USING ("row", col)"""))
 _map("fill_from_nearest", {"filled": "double"}, lambda z: {"filled": kernels.fill_nodata(np.where(z > 0.2, np.nan, z))})
 _map("fill_depressions", {"filled": "double", "depth": "double"}, lambda z: (lambda f: {"filled": f, "depth": f - z})(kernels.flood_fill(z)))
 _map("breach_surface", {"breached": "double"}, lambda z: {"breached": kernels.breach(z, 10.0)[0]})
@@ -102,18 +107,9 @@ def least_cost_snap(spark, d):
     return tiles.per_tile(ras(spark, d), work, "tile_row long, seq long, row long, col long, cost double", SIZE, 0)
 
 
-_MASK = """, m AS (SELECT "row", col, "row" * 64 + col AS id FROM ras WHERE z > 0.25 AND "row" < 60),
- walk(id, r) AS (SELECT id, id FROM m UNION SELECT w.id, b.id FROM walk w JOIN m a ON a.id = w.r JOIN m b ON abs(a."row" - b."row") <= 1 AND abs(a.col - b.col) <= 1 AND a.id <> b.id)"""
-
-
-@C.add("mask_components", over("ras", _MASK + " SELECT r // 64 AS first_row, r % 64 AS first_col, count(*) AS n FROM (SELECT id, min(r) AS r FROM walk GROUP BY id) GROUP BY r", recursive=True))
+@C.add("mask_components")
 def mask_components(spark, d):
-    return _mask_components(ras(spark, d).where("row < 60"))
-
-
-@C.add("mask_components_all")
-def mask_components_all(spark, d):
-    """mask_components over the whole raster; its recursive SQL is too slow there."""
+    """Eight-connected parts of the whole raster; recursive SQL is too slow for it."""
     return _mask_components(ras(spark, d))
 
 

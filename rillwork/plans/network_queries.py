@@ -108,19 +108,8 @@ def overlap_vote(spark, d):
     return a.select("u", F.when(F.col("m.w") >= 0.5 * F.col("t"), F.col("m.flag")).alias("class"))
 
 
-_SMOOTH = """, e AS (SELECT u, v % 50 AS v, sum(length) AS w FROM lnk WHERE u < 50 AND u <> v % 50 GROUP BY 1, 2), b AS (SELECT * FROM e UNION ALL SELECT v, u, w FROM e),
- n0 AS (SELECT id, (id * 37 % 100) / 100.0::DOUBLE AS x FROM (SELECT DISTINCT u AS id FROM b))""" + "".join(
-    f""", n{k} AS (SELECT a.id, round_even(0.5 * min(a.x) + 0.5 * sum(b.w * c.x) / sum(b.w), 12) AS x FROM n{k - 1} a JOIN b ON b.u = a.id JOIN n{k - 1} c ON c.id = b.v GROUP BY a.id)""" for k in (1, 2, 3)
-)
-
-
-@C.add("graph_smooth", over("lnk", _SMOOTH + " SELECT id, round_even(x, 6) AS value FROM n3"))
+@C.add("graph_smooth")
 def graph_smooth(spark, d):
-    return _smooth(lnk(spark, d).where("u < 50").withColumn("v", F.col("v") % 50), 3)
-
-
-@C.add("graph_smooth_all")
-def graph_smooth_all(spark, d):
     """All links with their own nodes and the 20 rounds of G14; SQL would have to unroll them."""
     return _smooth(lnk(spark, d), 20)
 

@@ -251,13 +251,8 @@ def land_mask_gap(spark, d):
     return r.groupBy(F.floor(F.col("row") / 50).alias("part")).agg(F.count("*").alias("n"), land.alias("n_land"), F.bround(1 - valid / land, 6).alias("gap"))
 
 
-@C.add("flip_north_up", over("ras", 'SELECT 499 - "row" AS "row", col, z FROM ras WHERE "row" < 500'))
+@C.add("flip_north_up", over("ras", 'SELECT (SELECT max("row") FROM ras) - "row" AS "row", col, z FROM ras'))
 def flip_north_up(spark, d):
-    return ras(spark, d).where("row < 500").select((F.lit(499) - F.col("row")).alias("row"), "col", "z")
-
-
-@C.add("flip_north_up_all", over("ras", 'SELECT (SELECT max("row") FROM ras) - "row" AS "row", col, z FROM ras'))
-def flip_north_up_all(spark, d):
     r = ras(spark, d)
     last = F.broadcast(table(spark, d, "embeddings").agg(F.max("vec_id").alias("last")))
     return r.crossJoin(last).select((F.col("last") - F.col("row")).alias("row"), "col", "z")

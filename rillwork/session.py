@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -29,10 +32,14 @@ def ship_package(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local master, whose executor is the driver, may go without
+    one and gets a folder of its own; on a cluster that would lose files between machines and is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="rillwork-")
+        atexit.register(shutil.rmtree, found.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 

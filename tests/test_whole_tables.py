@@ -60,14 +60,14 @@ def test_mask_components_of_all_rows(spark, raster):
             todo += near
         want.append((*min(todo), len(todo)))
     assert max(w[0] for w in want) >= 100
-    assert sorted((r.first_row, r.first_col, r.n) for r in Q["mask_components_all"](spark, d).collect()) == sorted(want)
+    assert sorted((r.first_row, r.first_col, r.n) for r in Q["mask_components"](spark, d).collect()) == sorted(want)
 
 
 def test_dilate_mask_of_all_rows(spark, raster):
     d, z = raster
     at = np.argwhere(z > 0.3)
     want = {(i, j) for i in range(len(z)) for j in range(64) if (((at - (i, j)) ** 2).sum(1) <= 9).any()}
-    got = [(r.row, r.col) for r in Q["dilate_mask_all"](spark, d).collect()]
+    got = [(r.row, r.col) for r in Q["dilate_mask"](spark, d).collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
 
@@ -87,6 +87,6 @@ def test_graph_smooth_of_all_links(spark, sf):
     x = np.array([k * 37 % 100 / 100 for k in ids])
     for _ in range(20):
         x = 0.5 * x + 0.5 * (w @ x) / w.sum(1)
-    got = {r.id: r.value for r in Q["graph_smooth_all"](spark, sf).collect()}
+    got = {r.id: r.value for r in Q["graph_smooth"](spark, sf).collect()}
     assert sorted(got) == ids and max(ids) >= 50
     assert np.allclose([got[k] for k in ids], x, atol=2e-6)
