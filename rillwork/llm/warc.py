@@ -10,7 +10,9 @@ Reading: the selected index rows are dealt by file, sorted by offset, and ranges
 read at once, up to `chunk` bytes; records are parsed from those chunks.
 
 Defined cases: null html is an empty payload; rows with equal payload and the same largest id are all responses; a null id
-sorts below any id; null or empty url: an empty target; control characters and spaces in urls are percent-encoded.
+sorts below any id; null or empty url: an empty target; in a target, control characters, blanks and other letters are
+percent-encoded, and the url itself then goes along in a header of its own, so that it is read back as it was written;
+other columns are not read, so their names can't clash; an empty table gives empty archives and an empty index.
 """
 
 from __future__ import annotations
@@ -46,6 +48,22 @@ def _name(page_id) -> str:
     return f"<urn:page:{'null' if page_id is None else page_id}>"
 
 
+def target(url: str | None) -> str:
+    return quote(url or "", safe="".join(map(chr, range(33, 127))))
+
+
+def own_url(url: str | None) -> list[str]:
+    """A header with the url in base64 (null: -) where the target does not tell it."""
+    if url is None:
+        return ["X-Page-URL: -"]
+    return [] if target(url) == url else [f"X-Page-URL: {base64.b64encode(url.encode()).decode()}"]
+
+
+def url_of(fields: dict[str, str]) -> str | None:
+    own = fields.get("x-page-url")
+    return fields["warc-target-uri"] if own is None else None if own == "-" else base64.b64decode(own).decode()
+
+
 def record(page_id, url: str | None, payload: bytes, digest: str, refers_to=None, revisit: bool = False) -> bytes:
     """One WARC/1.1 record with its closing blank lines; a revisit has no block but names the payload's digest and length."""
     block = b"" if revisit else payload
@@ -54,9 +72,10 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to=None
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: {_name(page_id)}",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {quote(url or '', safe=''.join(map(chr, range(33, 127))))}",
+        f"WARC-Target-URI: {target(url)}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Payload-Length: {len(payload)}",
+        *own_url(url),
         "Content-Type: text/html; charset=utf-8",
         f"Content-Length: {len(block)}",
     ]
@@ -166,7 +185,7 @@ def read_records(selected: DataFrame, folder: str, gap: int = GAP, chunk: int =
                     if digest != stored:
                         raise ValueError(f"digest differs in {file} at {offset}")
                     row = (
-                        page(fields["warc-record-id"]), fields["warc-target-uri"], int(fields["warc-payload-length"]) if again else len(block),
+                        page(fields["warc-record-id"]), url_of(fields), int(fields["warc-payload-length"]) if again else len(block),
                         digest, fields["warc-type"], page(fields["warc-refers-to"]) if again else None, None if again else block,
                     )
                     for col, value in zip(cols, row):
@@ -186,7 +205,7 @@ def read_records(selected: DataFrame, folder: str, gap: int = GAP, chunk: int =
     stretch = F.floor(F.col("offset") / F.lit(chunk)).alias("stretch")
     dealt = selected.select("file", "offset", "length", "page_id", stretch).repartition(parts, "file", "stretch").sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(
-        work, f"page_id {kind}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {kind}, payload binary"
+        frugal(work), f"page_id {kind}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {kind}, payload binary"
     )
 
 

@@ -11,11 +11,12 @@ def digest(text):
 
 
 def test_round_trip_and_revisits(spark, tmp_path):
-    pages = [(1, "http://a/", "<p>x</p>", 7), (2, None, None, 7), (3, "", "", 7), (4, "http://b/ \r\nc", "é" * 1000, 7), (5, "http://a/2", "<p>x</p>", 7), (9, "http://a/9", "<p>x</p>", 7), (None, "u", "<p>x</p>", 7), (9, "again", "<p>x</p>", 7), (11, "z", "q\r\n\r\nWARC/1.1\r\n", 7)]
+    pages = [(1, "http://a/", "<p>x</p>", 7), (2, None, None, 7), (3, "", "", 7), (4, "http://b/%20 \r\ncé", "é" * 1000, 7), (5, "http://a/2", "<p>x</p>", 7), (9, "http://a/9", "<p>x</p>", 7), (None, "u", "<p>x</p>", 7), (9, "again", "<p>x</p>", 7), (11, "z", "q\r\n\r\nWARC/1.1\r\n", 7)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, offset int").repartition(3)
     folder = f"file://{tmp_path}/w"
     got = warc.round_trip(df, folder=folder).collect()
     assert len(got) == len(pages)
+    assert sorted(r.url or "-" for r in got) == sorted(u or "-" for _, u, _, _ in pages) and sum(r.url is None for r in got) == 1
     tops = {}
     for i, _, h, _ in pages:
         tops[h or ""] = max(tops.get(h or "", -1), -1 if i is None else i)
