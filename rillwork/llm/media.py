@@ -4,7 +4,12 @@ Images live in binary columns. Decoding, resizing and hashing run per row in Arr
 and one image at a time; the integral image is built in row blocks, so that an image of any height needs memory for its
 bytes and one block only.
 
-Defined cases: a null or undecodable image gives null features; an empty text is stored as one row of 64 zero bytes.
+Payloads: a text's bytes are the samples of a grey image 64 wide, a PGM up to PGM_ROWS rows and an 8-bit BMP beyond. The
+stored form depends on the bytes alone, so equal texts give equal values.
+
+Defined cases: a null or undecodable image gives null features; a null or empty text is stored as one row of 64 zero bytes;
+a long text is one image, held whole once stored and once read; repeated rows each have their own; other columns are not
+read by the payload functions, and `add_tiles` replaces columns named like its own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +29,8 @@ from .common import frugal, prepare
 
 WIDTH = 64
 BLOCK_ROWS = 4096
+PGM_ROWS = 64
+TILE = 8
 
 
 def _netpbm_tokens(data: bytes, start: int, count: int) -> tuple[list[int], int]:
@@ -211,7 +218,7 @@ def add_tiles(df: DataFrame, image: str = "image", rows: int = 32, cols: int = 3
 
 
 def store_payload(df: DataFrame, key: Column, text: Column) -> DataFrame:
-    """key, n_bytes and media: the text's UTF-8 bytes (null: none), zero bytes up to a positive multiple of 64, as a PGM."""
+    """key, n_bytes and media: the text's UTF-8 bytes (null: none), zero bytes up to a positive multiple of 64, as PGM or BMP."""
     prepare(df.sparkSession)
     source = df.select(key.alias("doc_id"), F.coalesce(text, F.lit("")).cast("binary").alias("raw"))
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -226,7 +233,7 @@ def store_payload(df: DataFrame, key: Column, text: Column) -> DataFrame:
                 pixels = np.zeros(rows * WIDTH, np.uint8)
                 pixels[:size] = np.frombuffer(data, np.uint8)
                 sizes.append(size)
-                stored.append(encode_pgm(pixels.reshape(rows, WIDTH)))
+                stored.append((encode_pgm if rows <= PGM_ROWS else encode_bmp)(pixels.reshape(rows, WIDTH)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(stored, pa.binary())], ["doc_id", "n_bytes", "media"]
             )
@@ -235,30 +242,30 @@ def store_payload(df: DataFrame, key: Column, text: Column) -> DataFrame:
 
 
 def read_payload(df: DataFrame) -> DataFrame:
-    """Decode the stored media and describe the samples that come back."""
+    """Decode the stored media and describe the samples that come back; `tile` is an NPY file of the area-resized image."""
     kind = df.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(7)]
             for cell in batch.column("media"):
                 media = cell.as_buffer().to_pybytes()
-                pixels = decode_netpbm(media)
+                pixels = decode_image(media)
                 payload = pixels.tobytes()
                 row = (
                     len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]),
-                    len(media), hashlib.sha256(media).hexdigest(), difference_hash(pixels),
+                    len(media), hashlib.sha256(media).hexdigest(), difference_hash(pixels), npy_tile(pixels, TILE, TILE),
                 )
                 for col, value in zip(cols, row):
                     col.append(value)
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds))],
-                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"],
             )
 
     return df.mapInArrow(
-        work,
+        frugal(work),
         f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
-        "media_bytes long, media_sha256 string, feature string",
+        "media_bytes long, media_sha256 string, feature string, tile binary",
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, langid, media, mixing, neardup, ngram_join, quality, token_counts, urlfilter, warc
+from .common import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +51,8 @@ def op6_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_payload(media.store_payload(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text")))
+    stored = materialize(media.store_payload(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text")), "media", "zstd")
+    return media.read_payload(stored)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,7 +70,13 @@ def test_payload_columns(spark):
         pad = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         r = next(x for x in seen[doc_id] if x.n_bytes == len(raw))
         assert r.payload_bytes == len(pad) and r.payload_sha256 == hashlib.sha256(pad).hexdigest() and r.tail_crc32 == zlib.crc32(pad[-64:])
-        assert r.media_bytes > r.payload_bytes and len(r.feature) == 16
+        pixels = np.frombuffer(pad, np.uint8).reshape(-1, 64)
+        form = media.encode_pgm(pixels) if len(pixels) <= media.PGM_ROWS else media.encode_bmp(pixels)
+        assert form[:2] == (b"BM" if len(raw) > 4096 else b"P5") and r.media_bytes == len(form) and r.media_sha256 == hashlib.sha256(form).hexdigest()
+        assert (np.load(io.BytesIO(bytes(r.tile))) == np.clip(np.rint(media.area_resize(pixels, 8, 8)), 0, 255)).all()
+        cells = media.area_resize(pixels, 8, 9)
+        bits = [round(cells[i, j + 1], 9) > round(cells[i, j], 9) for i in range(8) for j in range(8)]
+        assert r.feature == f"{int(''.join('01'[int(b)] for b in bits), 2):016x}"
     assert seen[2][0].media_sha256 == seen[3][0].media_sha256
     empty = media.read_payload(media.store_payload(df.limit(0), F.col("doc_id"), F.col("text")))
     assert empty.count() == 0
