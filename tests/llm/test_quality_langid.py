@@ -166,3 +166,41 @@ def test_languages_by_hand(spark):
     for r in rows[:120]:
         name, score = _predict_by_hand(model, texts[r.doc_id])
         assert r.lang_pred == name and r.score == pytest.approx(score, abs=1e-4)
+
+
+def _statistics_by_hand(text):
+    """The features of one text by plain loops, in FEATURES' order."""
+    import math
+    import re
+
+    data = (text or "").encode()
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", data) if w]
+    n, size = len(words), len(data)
+    chars = len(text or "")
+    sentence, plain = b".,;:?'\"()-", bytes(range(0x21, 0x7F))
+    is_mark = lambda b: b in plain and not chr(b).isalnum() and b not in sentence
+    odds = lambda part, whole, typical, weight: (lambda p: math.log((p + 0.005) / (1 - p + 0.005)))((part + weight * typical) / (whole + weight))
+    low = [bytes(b | 0x20 if 0x41 <= b <= 0x5A else b for b in w) for w in words]
+    mean = sum(map(len, words)) / max(n, 1)
+    variance = max(sum(len(w) ** 2 for w in words) / max(n, 1) - mean**2, 0)
+    share = lambda test: odds(sum(map(test, data)), chars, *PRIOR[test])
+    tests = [
+        (lambda b: 0x61 <= b <= 0x7A, 0.78), (lambda b: 0x41 <= b <= 0x5A, 0.02), (lambda b: 0x30 <= b <= 0x39, 0.005),
+        (lambda b: b in b"\r\n", 0.005), (lambda b: b in sentence, 0.03), (is_mark, 0.002), (lambda b: b >= 0xC0, 0.03),
+    ]
+    PRIOR = {f: (p, 50.0) for f, p in tests}
+    most = max((low.count(w) for w in low), default=0)
+    return [
+        math.log1p(n), math.log((size + 60) / (n + 10)), 0.5 * math.log((variance * n + 100) / (n + 10)), math.log((len(set(low)) + 10) / (n + 10)),
+        odds(sum(a == b for a, b in zip(low, low[1:])), n, 0.01, 10), odds(sum(a == b for a, b in zip(low, low[2:])), n, 0.01, 10),
+        *(share(f) for f, _ in tests), odds(sum(is_mark(w[-1]) for w in words), n, 0.005, 10),
+        odds(sum(len(w) > 1 and all(0x41 <= b <= 0x5A for b in w[:2]) for w in words), n, 0.005, 10), odds(max(most - 1, 0), n, 0.05, 10),
+    ]
+
+
+def test_statistics_by_hand(spark):
+    import pyarrow as pa
+
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()][:60]
+    texts += ["", None, "a", "The the THE  the.", "12 $$ ## ab$", "é ß 中 WORD WORD x\r\n\r\nx", "a b a b a b", "\t\x0b  "]
+    assert np.allclose(quality.batch_statistics(pa.array(texts)), [_statistics_by_hand(t) for t in texts], atol=1e-9)
