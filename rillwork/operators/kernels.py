@@ -206,6 +206,24 @@ def flood_fill(z: np.ndarray) -> np.ndarray:
     return out
 
 
+def flood_from(z: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The least level at which each cell drains to one with a known level (infinite: unknown), known levels only fall."""
+    h, w = z.shape
+    out = np.where(np.isnan(z), np.nan, level)
+    heap = [(out[p], p) for p in map(tuple, np.argwhere(np.isfinite(out)).tolist())]
+    heapq.heapify(heap)
+    while heap:
+        here, (r, c) = heapq.heappop(heap)
+        if here > out[r, c]:
+            continue
+        for dr, dc in STEPS:
+            i, j = r + dr, c + dc
+            if 0 <= i < h and 0 <= j < w and max(here, z[i, j]) < out[i, j]:
+                out[i, j] = max(here, z[i, j])
+                heapq.heappush(heap, (out[i, j], (i, j)))
+    return out
+
+
 def depressions(z: np.ndarray, least: float = 0.02, cell: float = 1.0) -> tuple[np.ndarray, list[dict]]:
     """Labels of filled areas deeper than `least`, and greatest depth, area and volume of each."""
     depth = np.nan_to_num(flood_fill(z) - z)

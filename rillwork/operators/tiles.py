@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import materialize, ship_package
 from . import kernels
 
 Kernel = Callable[[np.ndarray], dict[str, np.ndarray]]
@@ -111,29 +111,89 @@ def merge_labels(labelled: DataFrame, size: int, eight: bool = True) -> DataFram
     return own.select("row", "col", "id").join(names, "id").select("row", "col", F.col("label").alias("component"))
 
 
-def floodplain_mask(cells: DataFrame, cell: float = 1.0, max_height: float = 10.0, min_area: float = 1e4, size: int = 512) -> DataFrame:
-    """cells: row, col, height (above drainage). Returns row, col, inside: low cells without 4-connected islands under
-    min_area, and with enclosed holes under min_area filled; land that runs off the raster's edge is no hole."""
-    from ..session import materialize
+def parts(mask: DataFrame, size: int = 512, eight: bool = True) -> DataFrame:
+    """mask: row, col, hit. The cells that are hit with the component of the whole raster that each is in."""
+
+    def work(z: np.ndarray, r: int, c: int) -> list[dict]:
+        lab = kernels.label(z > 0.5, eight)
+        return [{"row": r + int(i), "col": c + int(j), "tr": (r + int(i)) // size, "tc": (c + int(j)) // size, "label": int(lab[i, j])} for i, j in np.argwhere(lab > 0)]
+
+    cells = mask.select("row", "col", F.when(F.col("hit"), 1.0).otherwise(0.0).alias("z"))
+    lab = per_tile(cells, work, "row long, col long, tr long, tc long, label long", size, 0)
+    return materialize(merge_labels(materialize(lab, "labels"), size, eight), "parts")
+
+
+def _marked(cells: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    hit = found.select("row", "col", F.lit(True).alias(name))
+    return cells.select("row", "col").join(hit, ["row", "col"], "left").select("row", "col", F.coalesce(name, F.lit(False)).alias(name))
+
+
+def hysteresis(cells: DataFrame, weak: str, strong: str, size: int = 512) -> DataFrame:
+    """row, col, kept: cells where `weak` holds (SQL tests) in eight-connected parts that hold a strong cell."""
+    both = cells.select("row", "col", F.coalesce(F.expr(f"({weak}) or ({strong})"), F.lit(False)).alias("hit"))
+    comp = parts(both, size)
+    good = comp.join(cells.where(strong).select("row", "col"), ["row", "col"]).select("component").distinct()
+    return _marked(cells, comp.join(good, "component", "left_semi"), "kept")
+
 
-    def parts(mask: DataFrame, tag: str) -> DataFrame:
-        def work(z: np.ndarray, r: int, c: int) -> list[dict]:
-            lab = kernels.label(z > 0.5, eight=False)
-            return [{"row": r + int(i), "col": c + int(j), "tr": r // size, "tc": c // size, "label": int(lab[i, j])} for i, j in np.argwhere(lab > 0)]
+def drop_small(cells: DataFrame, test: str, least: int, size: int = 512, eight: bool = True) -> DataFrame:
+    """row, col, kept: cells where the SQL test holds in parts of `least` cells or more."""
+    comp = parts(cells.select("row", "col", F.coalesce(F.expr(test), F.lit(False)).alias("hit")), size, eight)
+    good = comp.groupBy("component").count().where(F.col("count") >= least)
+    return _marked(cells, comp.join(good, "component", "left_semi"), "kept")
 
-        lab = per_tile(mask, work, "row long, col long, tr long, tc long, label long", size, 0)
-        return materialize(merge_labels(materialize(lab, tag), size, eight=False), tag)
 
+def fill(cells: DataFrame, size: int = 512) -> DataFrame:
+    """row, col, z, filled: every cell raised to the lowest level at which it drains to the raster's edge or no data (null there).
+
+    Tiles are flooded from their outlets and from the levels that the cells around them have so far; levels only fall, and
+    the rounds end when none does, so the surface is that of the whole raster. There are as many rounds as tiles that the
+    longest spill path crosses, and one more."""
+    ship_package(cells.sparkSession)
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c = (pdf["row"] - pdf["row"].min()).to_numpy(), (pdf["col"] - pdf["col"].min()).to_numpy()
+        shape = r.max() + 1, c.max() + 1
+        z, level, core = np.full(shape, np.nan), np.full(shape, np.inf), np.zeros(shape, bool)
+        z[r, c], level[r, c], core[r, c] = pdf["z"].to_numpy(dtype=float), pdf["filled"].to_numpy(dtype=float), pdf["core"].to_numpy()
+        # a core cell at the array's edge has no neighbours beyond, so it is at the raster's edge
+        new = kernels.flood_from(z, np.where(kernels.outlets(z) & core, z, level))
+        own = pdf["core"].to_numpy()
+        got, before = new[r[own], c[own]], pdf["filled"].to_numpy(dtype=float)[own]
+        return pd.DataFrame({"row": pdf["row"][own], "col": pdf["col"][own], "z": pdf["z"][own], "filled": got, "fell": got < before})
+
+    state = cells.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("z").cast("double").alias("z"), F.lit(float("inf")).alias("filled"))
+    while True:
+        dealt = with_halo(state.select("row", "col", "z", "filled"), size, 1)
+        state = materialize(dealt.groupBy("tr", "tc").applyInPandas(work, "row long, col long, z double, filled double, fell boolean"), "fill")
+        if state.where("fell").isEmpty():
+            return state.select("row", "col", "z", "filled")
+
+
+def depressions(cells: DataFrame, least: float = 0.02, cell: float = 1.0, size: int = 512) -> DataFrame:
+    """One row a filled area deeper than `least`: first_row, first_col, max_depth, area_m2, volume_m3."""
+    deep = fill(cells, size).withColumn("depth", F.coalesce(F.nanvl(F.col("filled") - F.col("z"), F.lit(0.0)), F.lit(0.0)))
+    comp = parts(deep.select("row", "col", (F.col("depth") > least).alias("hit")), size)
+    rows = comp.join(deep.select("row", "col", "depth"), ["row", "col"]).groupBy("component").agg(
+        F.min(F.struct("row", "col")).alias("m"), F.max("depth").alias("max_depth"), F.count("*").alias("n"), F.sum("depth").alias("total")
+    )
+    area = cell * cell
+    return rows.select(F.col("m.row").alias("first_row"), F.col("m.col").alias("first_col"), "max_depth", (F.col("n") * area).alias("area_m2"), (F.col("total") * area).alias("volume_m3"))
+
+
+def floodplain_mask(cells: DataFrame, cell: float = 1.0, max_height: float = 10.0, min_area: float = 1e4, size: int = 512) -> DataFrame:
+    """cells: row, col, height (above drainage). Returns row, col, inside: low cells without 4-connected islands under
+    min_area, and with enclosed holes under min_area filled; land that runs off the raster's edge is no hole."""
     def chosen(comp: DataFrame, sizes: DataFrame) -> DataFrame:
         return comp.join(sizes.select("component"), "component").select("row", "col", F.lit(True).alias("hit"))
 
     area = F.count("*") * F.lit(cell * cell)
     low = F.coalesce(F.col("height") <= max_height, F.lit(False))
-    islands = parts(cells.select("row", "col", F.when(low, 1.0).otherwise(0.0).alias("z")), "islands")
+    islands = parts(cells.select("row", "col", low.alias("hit")), size, False)
     kept = chosen(islands, islands.groupBy("component").agg(area.alias("area")).where(F.col("area") >= min_area))
     mask = materialize(cells.select("row", "col").join(kept, ["row", "col"], "left").select("row", "col", F.coalesce("hit", F.lit(False)).alias("inside")), "mask")
     box = mask.agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
-    land = parts(mask.select("row", "col", F.when(F.col("inside"), 0.0).otherwise(1.0).alias("z")), "land").crossJoin(F.broadcast(box))
+    land = parts(mask.select("row", "col", (~F.col("inside")).alias("hit")), size, False).crossJoin(F.broadcast(box))
     edge = F.max(F.col("row").isin(F.col("r0"), F.col("r1")) | F.col("col").isin(F.col("c0"), F.col("c1")))
     holes = chosen(land, land.groupBy("component").agg(area.alias("area"), edge.alias("edge")).where((F.col("area") < min_area) & ~F.col("edge")))
     return mask.join(holes, ["row", "col"], "left").select("row", "col", (F.col("inside") | F.coalesce("hit", F.lit(False))).alias("inside"))

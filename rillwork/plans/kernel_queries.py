@@ -31,12 +31,9 @@ _map("distance_to_mask", {"dist": "double"}, lambda z: {"dist": kernels.nearest(
   n AS (SELECT m."row" + dr AS "row", m.col + dc AS col, min(s) AS s FROM ras m, o WHERE m.z > 0.25 GROUP BY 1, 2)
   SELECT a."row", a.col, coalesce(sqrt(s), 'Infinity'::DOUBLE) AS dist FROM ras a LEFT JOIN n USING ("row", col)"""))
 _map("fill_from_nearest", {"filled": "double"}, lambda z: {"filled": kernels.fill_nodata(np.where(z > 0.2, np.nan, z))})
-_map("fill_depressions", {"filled": "double", "depth": "double"}, lambda z: (lambda f: {"filled": f, "depth": f - z})(kernels.flood_fill(z)))
 _map("breach_surface", {"breached": "double"}, lambda z: {"breached": kernels.breach(z, 10.0)[0]})
 _map("accumulate", {"area": "double"}, lambda z: {"area": kernels.accumulate(kernels.flow_directions(kernels.flood_fill(z)), np.ones_like(z))})
 _map("thin", {"line": "boolean"}, lambda z: {"line": kernels.thin(z > 0.05)})
-_map("hysteresis", {"kept": "boolean"}, lambda z: {"kept": kernels.hysteresis(z > 0.1, z > 0.3)})
-_map("drop_small", {"kept": "boolean"}, lambda z: {"kept": kernels.drop_small(z > 0.1, 4)})
 _map("threshold_channels", {"strong": "boolean"}, lambda z: {"strong": kernels.strong_channels(z * 10, 1.0, Valleys().shapes)})
 _map("stream_order", {"stream_order": "int"}, lambda z: (lambda k: {"stream_order": kernels.strahler_streams(k, kernels.accumulate(k, np.ones_like(z)), 8.0)})(kernels.flow_directions(kernels.flood_fill(z))))
 _map("prune_spurs", {"line": "boolean"}, lambda z: {"line": kernels.prune(kernels.thin(z > 0.0), 4.0)})
@@ -52,12 +49,24 @@ def pit_flats(spark, d):
     return tiles.per_tile(ras(spark, d), lambda z, r, c: [{"row": r + i, "col": c + j} for i, j in kernels.pit_flats(z)], "row long, col long", SIZE, 0)
 
 
+@C.add("fill_depressions")
+def fill_depressions(spark, d):
+    return tiles.fill(ras(spark, d), SIZE).select("row", "col", "filled", (F.col("filled") - F.col("z")).alias("depth"))
+
+
+@C.add("hysteresis")
+def hysteresis(spark, d):
+    return tiles.hysteresis(ras(spark, d), "z > 0.1", "z > 0.3", SIZE)
+
+
+@C.add("drop_small")
+def drop_small(spark, d):
+    return tiles.drop_small(ras(spark, d), "z > 0.1", 4, SIZE)
+
+
 @C.add("depressions")
 def depressions(spark, d):
-    def work(z, r, c):
-        return [x | {"tile_row": r, "tile_col": c} for x in kernels.depressions(z)[1]]
-
-    return tiles.per_tile(ras(spark, d), work, "label long, max_depth double, area_m2 double, volume_m3 double, tile_row long, tile_col long", SIZE, 0)
+    return tiles.depressions(ras(spark, d), size=SIZE)
 
 
 @C.add("breach_paths")
@@ -114,17 +123,7 @@ def mask_components(spark, d):
 
 
 def _mask_components(r):
-    size = 16
-    cells = r.select("row", "col", F.when(F.col("z") > 0.25, 1.0).otherwise(0.0).alias("z"))
-
-    def work(z, r, c):
-        lab = kernels.label(z > 0.5)
-        return [{"row": r + int(i), "col": c + int(j), "tr": r // size, "tc": c // size, "label": int(lab[i, j])} for i, j in np.argwhere(lab > 0)]
-
-    lab = tiles.per_tile(cells, work, "row long, col long, tr long, tc long, label long", size, 0)
-    from ..session import materialize
-
-    merged = tiles.merge_labels(materialize(lab, "mask-labels"), size)
+    merged = tiles.parts(r.select("row", "col", (F.col("z") > 0.25).alias("hit")), SIZE)
     first = F.min(F.struct("row", "col")).alias("m")
     return merged.groupBy("component").agg(first, F.count("*").alias("n")).select(F.col("m.row").alias("first_row"), F.col("m.col").alias("first_col"), "n")
 

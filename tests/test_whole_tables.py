@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from rillwork.operators import tiles
+from rillwork.operators import kernels, tiles
 from rillwork.plans import catalogue
 
 Q = catalogue.queries()
@@ -90,3 +90,26 @@ def test_graph_smooth_of_all_links(spark, sf):
     got = {r.id: r.value for r in Q["graph_smooth"](spark, sf).collect()}
     assert sorted(got) == ids and max(ids) >= 50
     assert np.allclose([got[k] for k in ids], x, atol=2e-6)
+
+
+@pytest.mark.parametrize("size", [16, 64, 512])
+def test_tile_size_changes_nothing(spark, size):
+    z = np.random.default_rng(8).normal(0, 0.25, (70, 45))
+    z[20:50, 10:30] -= 2.0  # a pit over several tiles
+    z[5, 3:40] = 0.9
+    z[60:64, 40:44] = np.nan
+    cells = spark.createDataFrame([(i, j, float(z[i, j])) for i in range(70) for j in range(45)], "row long, col long, z double").cache()
+    grid = lambda rows, name: {(r["row"], r["col"]): r[name] for r in rows}
+    filled = grid(tiles.fill(cells, size).collect(), "filled")
+    want = kernels.flood_fill(z)
+    assert len(filled) == z.size and all(filled[p] == want[p] or np.isnan(want[p]) and filled[p] is None for p in np.ndindex(z.shape))
+    got = tiles.depressions(cells, size=size).collect()
+    lab, rows = kernels.depressions(z)
+    first = [tuple(np.argwhere(lab == r["label"])[0].tolist()) for r in rows]
+    assert sorted((r.first_row, r.first_col, round(r.max_depth, 9), r.area_m2, round(r.volume_m3, 9)) for r in got) == sorted(
+        (*f, round(r["max_depth"], 9), r["area_m2"], round(r["volume_m3"], 9)) for f, r in zip(first, rows)
+    )
+    with np.errstate(invalid="ignore"):
+        weak, strong = z > 0.1, z > 0.3
+    assert grid(tiles.hysteresis(cells.fillna(-9.0), "z > 0.1", "z > 0.3", size).collect(), "kept") == {p: bool(v) for p, v in np.ndenumerate(kernels.hysteresis(weak, strong))}
+    assert grid(tiles.drop_small(cells.fillna(-9.0), "z > 0.1", 4, size).collect(), "kept") == {p: bool(v) for p, v in np.ndenumerate(kernels.drop_small(weak, 4))}
