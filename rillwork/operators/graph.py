@@ -5,6 +5,8 @@ Loops are fixed points over tables in shared storage. Trees use an id and a down
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,11 +86,19 @@ def uphill_cost(length: Column, z_from: Column, z_to: Column, free: float = 0.5,
     return length + F.lit(weight) * F.greatest(z_from - z_to - F.lit(free), F.lit(0.0))
 
 
+def doublings(state: DataFrame) -> Iterator[int]:
+    """Rounds of pointer doubling that a tree of so many nodes can need; more mean that parents form a ring."""
+    yield from range(state.count().bit_length() + 1)
+    raise ValueError("the parents form a ring")
+
+
 def levels(tree: DataFrame) -> DataFrame:
     """id and parent (null at an outlet) with depth: steps to the outlet. Pointer doubling: rounds are the logarithm of the
     longest stem."""
     state = materialize(tree.select("id", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")), "tree-levels")
-    while not state.where("up is not null").isEmpty():
+    for _ in doublings(state):
+        if state.where("up is not null").isEmpty():
+            break
         far = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
         state = materialize(state.join(far, "up", "left").select("id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "tree-levels")
     return state.select("id", "depth")
@@ -99,7 +109,9 @@ def upstream_sum(tree: DataFrame, value: str) -> DataFrame:
     state = materialize(tree.select("id", F.col("parent").alias("up"), F.col(value).cast("double").alias("v")), "tree-values")
     total = state.select("id", F.col("v").alias("total"))
     # ancestors at distance 2^k get what lies within 2^k upstream, then pointers double
-    while not state.where("up is not null").isEmpty():
+    for _ in doublings(state):
+        if state.where("up is not null").isEmpty():
+            break
         passed = total.join(state.select("id", "up"), "id").where("up is not null").groupBy(F.col("up").alias("id")).agg(F.sum("total").alias("more"))
         total = materialize(total.join(passed, "id", "left").select("id", (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total")), "tree-total")
         far = state.select(F.col("id").alias("up"), F.col("up").alias("next"))
@@ -131,7 +143,9 @@ def propagate_max(tree: DataFrame, value: str) -> DataFrame:
     """id, top: the greatest value of the node and everything upstream."""
     state = materialize(tree.select("id", F.col("parent").alias("up")), "prop-up")
     top = tree.select("id", F.col(value).alias("top"))
-    while not state.where("up is not null").isEmpty():
+    for _ in doublings(state):
+        if state.where("up is not null").isEmpty():
+            break
         passed = top.join(state, "id").where("up is not null").groupBy(F.col("up").alias("id")).agg(F.max("top").alias("more"))
         top = materialize(top.join(passed, "id", "left").select("id", F.greatest("top", "more").alias("top")), "prop-top")
         far = state.select(F.col("id").alias("up"), F.col("up").alias("next"))

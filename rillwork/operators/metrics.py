@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 from .windows import rank_from_zero
 
 
@@ -32,12 +34,27 @@ def average_precision(rows: DataFrame, group: list[str], score: str, y: str) ->
     return c.groupBy(*group).agg(F.sum(gain).alias("ap"), F.sum("__p").alias("n_pos"), F.sum("__n").alias("n_rows"))
 
 
+def running_sums(steps: DataFrame, group: list[str], order: Column, sums: list[str]) -> DataFrame:
+    """Adds before_<column> for each of the sums: its total over the rows of the group that come earlier. The rows are dealt
+    in order of group and `order`, so that a group is spread over tasks; a part starts from the totals of those before it."""
+    dealt = materialize(steps.repartitionByRange(*[F.col(g) for g in group], order).withColumn("__part", F.spark_partition_id()), "running")
+    whole = dealt.groupBy(*group, "__part").agg(*[F.sum(c).alias(f"__all_{c}") for c in sums])
+    earlier = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    starts = whole.select(*group, "__part", *[F.coalesce(F.sum(f"__all_{c}").over(earlier), F.lit(0)).alias(f"__start_{c}") for c in sums])
+    inside = Window.partitionBy(*group, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*group, "__part"]
+    a, b = dealt.withColumns({f"__in_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums}).alias("a"), starts.alias("b")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    return a.join(b, same).select(*[F.col(f"a.{c}") for c in steps.columns], *[(F.col(f"__in_{c}") + F.col(f"__start_{c}")).alias(f"before_{c}") for c in sums])
+
+
 def roc_auc(rows: DataFrame, group: list[str], score: str, y: str) -> DataFrame:
-    """Probability that a positive outranks a negative, ties counting half, from average ranks."""
-    d = rows.where(F.col(y).isNotNull())
-    mean = F.rank().over(Window.partitionBy(*group).orderBy(score)) + (F.count("*").over(Window.partitionBy(*group, score)) - 1) / 2
-    d = d.withColumn("__r", mean)
-    a = d.groupBy(*group).agg(F.sum(F.when(F.col(y) == 1, F.col("__r"))).alias("s"), F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("n1"), F.count("*").alias("n"))
+    """Probability that a positive outranks a negative, ties counting half, from average ranks. Rows are summed by score
+    first; the ranks are running sums over the distinct scores."""
+    steps = rows.where(F.col(y).isNotNull()).groupBy(*group, score).agg(F.count("*").alias("__n"), F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("__p"))
+    ranked = running_sums(steps, group, F.col(score).asc(), ["__n"])
+    rank = F.col("before___n") + (F.col("__n") + 1) / 2
+    a = ranked.groupBy(*group).agg(F.sum(F.col("__p") * rank).alias("s"), F.sum("__p").alias("n1"), F.sum("__n").alias("n"))
     n0 = F.col("n") - F.col("n1")
     return a.select(*group, "n1", n0.alias("n0"), F.when((F.col("n1") > 0) & (n0 > 0), (F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * n0)).alias("auc"))
 
@@ -49,15 +66,12 @@ def histogram_ap(rows: DataFrame, group: list[str], score: Column, y: str, bins:
 
 
 def youden(rows: DataFrame, score: str, y: str) -> DataFrame:
-    """The threshold with the largest true minus false positive rate; ties to the lowest threshold. One row.
-
-    Thresholds are few hundred thousand at most only if scores repeat; the cumulative sums run over distinct scores.
-    """
+    """The threshold with the largest true minus false positive rate; ties to the lowest threshold. One row."""
     steps = rows.where(F.col(y).isNotNull()).groupBy(score).agg(F.sum(y).alias("p"), F.sum(1 - F.col(y)).alias("n"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    c = steps.withColumns({"cp": F.sum("p").over(w), "cn": F.sum("n").over(w), "tp": F.sum("p").over(total), "tn": F.sum("n").over(total)})
-    j = F.col("cp") / F.col("tp") - F.col("cn") / F.col("tn")
+    c = running_sums(steps, [], F.col(score).desc(), ["p", "n"])
+    total = steps.agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"))
+    c = c.crossJoin(F.broadcast(total))  # one row
+    j = (F.col("before_p") + F.col("p")) / F.col("tp") - (F.col("before_n") + F.col("n")) / F.col("tn")
     return c.agg(F.max(F.struct(j.alias("j"), (-F.col(score)).alias("neg"))).alias("m")).select((-F.col("m.neg")).alias("threshold"), F.col("m.j").alias("j"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rillwork.config import Config, Settings
 from rillwork.functions import geometry, grid, scalars
-from rillwork.operators import focal, graph, greedy, labels, near, rules, tiles, windows
+from rillwork.operators import focal, graph, greedy, labels, metrics, near, rules, tiles, windows
 from rillwork.sources import catalog, raster, readers
 
 
@@ -253,3 +253,20 @@ def test_window_helpers(spark):
     assert runs == [(1, 0.0, 2), (2, 5.0, 1), (3, 0.0, 2), (4, 7.0, 2), (5, 0.0, 1)]
     bumps = [r.bump for r in windows.bed_bumps(d, ["line"], ["k"], "z", 2).orderBy("k").collect()]
     assert bumps[0] is None and bumps[2] == 5.0 and bumps[-1] is None
+
+
+def test_rings_are_refused(spark):
+    ring = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (3, 1, 1.0), (4, 1, 1.0)], "id long, parent long, v double")
+    for run in (lambda: graph.levels(ring), lambda: graph.upstream_sum(ring, "v"), lambda: graph.propagate_max(ring, "v")):
+        with pytest.raises(ValueError):
+            run().collect()
+
+
+def test_area_under_curve_with_ties_and_groups(spark):
+    rng = np.random.default_rng(4)
+    rows = [(str(g), float(rng.integers(0, 12)), int(rng.integers(0, 2))) for g in range(3) for _ in range(80)] + [("one", 1.0, 1), (None, 1.0, 1), (None, 2.0, 0)]
+    got = {r.g: r.auc for r in metrics.roc_auc(spark.createDataFrame(rows, "g string, s double, y int"), ["g"], "s", "y").collect()}
+    for g in {r[0] for r in rows}:
+        pos, neg = ([s for k, s, y in rows if k == g and y == v] for v in (1, 0))
+        want = np.mean([(a > b) + (a == b) / 2 for a in pos for b in neg]) if pos and neg else None
+        assert got[g] == (None if want is None else pytest.approx(want))
