@@ -193,14 +193,15 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     spark = prepare(docs.sparkSession)
     h = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text)), 1)
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(id_col)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), h.alias("h"))
-    counts = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")), "lang-counts")
-    model = layout([r["lang"] for r in counts.select("lang").collect()])  # the model has every language
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # the model has every language
+    model = layout(list(counts))
     if not model.families:
         return model
     named = machines_of(model)
-    machines = spark.createDataFrame(list(named.items()), "lang string, machines array<string>")
+    # a row a language: far smaller than the model, which every task gets as well
+    table = spark.createDataFrame([(code, counts[code], own) for code, own in named.items()], "lang string, n long, machines array<string>")
     # the rows of a repeated text share a hash, so they are one row here and a language's sample stays bounded
-    sample = rows.join(counts.join(machines, "lang"), "lang").where(F.col("h") <= F.least(F.lit(float(per_language)) / F.col("n"), F.lit(1.0)) * float((1 << 63) - 1))
+    sample = rows.join(F.broadcast(table), "lang").where(F.col("h") <= F.least(F.lit(float(per_language)) / F.col("n"), F.lit(1.0)) * float((1 << 63) - 1))
     sample = sample.dropDuplicates(["h", "lang"]).select("h", "lang", "text", "machines", (F.col("h") <= F.lit(rest / len(named)) / F.col("n") * float(1 << 63)).alias("rest"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
