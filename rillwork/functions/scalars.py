@@ -145,6 +145,12 @@ def content_key(value, n: int = 16) -> str:
     return hashlib.sha256(canonical(value).encode()).hexdigest()[:n]
 
 
+def content_key_of(columns: dict[str, Column], n: int = 16) -> Column:
+    """The content key of each row's {name: value}, for columns of text and whole numbers; nulls count as null."""
+    fields = F.struct(*[columns[k].alias(k) for k in sorted(columns)])
+    return F.substring(F.sha2(F.to_json(fields, {"ignoreNullFields": "false"}), 256), 1, n)
+
+
 def merge_deep(left: dict, right: dict) -> dict:
     """Recursive merge of mappings; the right side wins."""
     out = dict(left)

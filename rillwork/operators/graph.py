@@ -195,9 +195,11 @@ def orient(reaches: DataFrame) -> DataFrame:
     """reaches: id, a, b (node keys), area. Direction a to b if the largest other area at b exceeds that at a, b to a if
     less; undecided ones take the direction most decided ones have. Returns id, from_node, to_node, decided."""
     ends = reaches.select("id", "a", "area").withColumnRenamed("a", "n").unionByName(reaches.select("id", F.col("b").alias("n"), "area"))
-    top = ends.groupBy("n").agg(F.sort_array(F.collect_list(F.struct("area", "id")), asc=False).alias("all"))
-    # nodes of a network have a few reaches; the two largest are all that is asked for
-    top = top.select("n", F.element_at("all", 1).alias("m1"), F.try_element_at("all", F.lit(2)).alias("m2"))
+    # the two largest reaches of a node by two aggregates, so that a hub is no hot spot
+    one = F.struct("area", "id")
+    m1 = ends.groupBy("n").agg(F.max(one).alias("m1"))
+    m2 = ends.join(m1, "n").where(F.col("id") != F.col("m1.id")).groupBy("n").agg(F.max(one).alias("m2"))
+    top = m1.join(m2, "n", "left")
     def other(side: str) -> tuple[DataFrame, Column]:
         t = top.select(F.col("n").alias(side), F.col("m1").alias(f"m1_{side}"), F.col("m2").alias(f"m2_{side}"))
         best = F.when(F.col(f"m1_{side}.id") != F.col("id"), F.col(f"m1_{side}.area")).otherwise(F.col(f"m2_{side}.area"))

@@ -292,7 +292,8 @@ def hausdorff_pairs(spark, d):
     return vector.sampled_hausdorff(p.where("id % 2 = 0"), p.where("id % 2 = 1")).select("key", b6("distance").alias("distance"))
 
 
-@C.add("step_plan")
+@C.add("step_plan", """WITH RECURSIVE steps(step, needs) AS (VALUES ('fetch', ''), ('build', 'fetch'), ('features', 'build'), ('train', 'features'), ('score', 'train'), ('report', 'build')),
+  lev(step, depth) AS (SELECT step, 0 FROM steps WHERE needs = '' UNION ALL SELECT s.step, l.depth + 1 FROM lev l JOIN steps s ON s.needs = l.step) SELECT step, max(depth) AS depth FROM lev GROUP BY step""")
 def step_plan(spark, d):
     """Steps with needs in an order that respects them, by levels of a recursive query."""
     steps = spark.createDataFrame([("fetch", ""), ("build", "fetch"), ("features", "build"), ("train", "features"), ("score", "train"), ("report", "build")], "step string, needs string")
@@ -383,7 +384,7 @@ def band_units(spark, d):
     return b.select("band", unit.alias("unit"), F.regexp_extract("band", r"_(\d+)$", 1).try_cast("double").alias("scale"))
 
 
-@C.add("settings_diff")
+@C.add("settings_diff", "SELECT 'links.max_m' AS key, '30.0' AS a, '25.0' AS b")
 def settings_diff(spark, d):
     from dataclasses import asdict
 
@@ -394,10 +395,10 @@ def settings_diff(spark, d):
     return spark.createDataFrame(rows, "key string, a string, b string")
 
 
-@C.add("content_keys")
+@C.add("content_keys", """SELECT p_partkey AS id, substr(sha256('{"brand":"' || p_brand || '","key":' || p_partkey || ',"size":' || p_size || '}'), 1, 16) AS key FROM part""")
 def content_keys(spark, d):
-    rows = [(r, scalars.content_key({"resolution": r, "bounds": [0.0, 1.0, 2.5], "product": "dem"})) for r in (1, 2, 4, 8)]
-    return spark.createDataFrame(rows, "resolution int, key string")
+    key = scalars.content_key_of({"key": F.col("p_partkey"), "brand": F.col("p_brand"), "size": F.col("p_size")})
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), key.alias("key"))
 
 
 @C.add("simplified_lines")

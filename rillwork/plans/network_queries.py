@@ -269,7 +269,12 @@ def minor_sweep(spark, d):
     return a.agg(*aggs).select(F.explode(one).alias("s")).select("s.*")
 
 
-@C.add("orient_reaches")
+@C.add("orient_reaches", over("tree", """, r AS (SELECT id, CASE WHEN id % 3 = 0 THEN id ELSE parent END AS a, CASE WHEN id % 3 = 0 THEN parent ELSE id END AS b, area FROM tree WHERE parent IS NOT NULL),
+  e AS (SELECT id, a AS n, area FROM r UNION ALL SELECT id, b, area FROM r), oa AS (SELECT r.id, max(e.area) AS v FROM r JOIN e ON e.n = r.a AND e.id <> r.id GROUP BY r.id),
+  ob AS (SELECT r.id, max(e.area) AS v FROM r JOIN e ON e.n = r.b AND e.id <> r.id GROUP BY r.id),
+  t AS (SELECT r.id, a, b, sign(coalesce(ob.v, 0) - coalesce(oa.v, 0)) AS vote FROM r LEFT JOIN oa ON oa.id = r.id LEFT JOIN ob ON ob.id = r.id),
+  w AS (SELECT *, CASE WHEN vote <> 0 THEN vote WHEN (SELECT sum(vote) FROM t) >= 0 THEN 1 ELSE -1 END AS way FROM t)
+  SELECT id, CASE WHEN way > 0 THEN a ELSE b END AS from_node, CASE WHEN way > 0 THEN b ELSE a END AS to_node, vote <> 0 AS decided FROM w"""))
 def orient_reaches(spark, d):
     t = tree(spark, d).where("parent is not null")
     flip = F.col("id") % 3 == 0

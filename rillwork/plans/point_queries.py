@@ -190,8 +190,13 @@ def two_links_per_end(spark, d):
     return c.groupBy(F.least("a_id", "b_id").alias("u"), F.greatest("a_id", "b_id").alias("v")).agg(F.min("dist").alias("dist"))
 
 
-_CLOSE = f""", e AS (SELECT a.id AS u, b.id AS v FROM pts a JOIN pts b ON a.id <> b.id AND {_D} <= 25),
- walk(id, r) AS (SELECT id, id FROM pts UNION SELECT w.id, e.v FROM walk w JOIN e ON e.u = w.r), lab AS (SELECT id, min(r) AS label FROM walk GROUP BY id)"""
+def _close(radius: int, k: str = "") -> str:
+    return f""", e{k} AS (SELECT a.id AS u, b.id AS v FROM pts a JOIN pts b ON a.id <> b.id AND {_D} <= {radius}),
+ walk{k}(id, r) AS (SELECT id, id FROM pts UNION SELECT w.id, e.v FROM walk{k} w JOIN e{k} e ON e.u = w.r), lab{k} AS (SELECT id, min(r) AS label FROM walk{k} GROUP BY id)"""
+
+
+_CLOSE = _close(25)
+_SWEEP = (5, 10, 20)
 
 
 def _components(spark, d, radius=25.0):
@@ -224,10 +229,11 @@ def isolated_components(spark, d):
     return s.groupBy(ladder(F.col("n"), [2, 3, 6]).alias("size_bin")).agg(F.count("*").alias("n_components"), F.sum("n").alias("n_points"))
 
 
-@C.add("join_sweep")
+@C.add("join_sweep", over("pts", "".join(f"{_close(r, str(r))}, n{r} AS (SELECT label, count(*) AS n FROM lab{r} GROUP BY label)" for r in _SWEEP)
+  + " UNION ALL ".join(f" SELECT {r}.0::DOUBLE AS radius, count(*) AS n_components, avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END) AS isolated_share FROM n{r}" for r in _SWEEP), recursive=True))
 def join_sweep(spark, d):
     out = None
-    for radius in (5.0, 10.0, 20.0):
+    for radius in map(float, _SWEEP):
         lab = _components(spark, d, radius)[1].groupBy("label").agg(F.count("*").alias("n"))
         one = lab.agg(F.count("*").alias("n_components"), F.avg((F.col("n") == 1).cast("double")).alias("isolated_share")).withColumn("radius", F.lit(radius))
         out = one if out is None else out.unionByName(one)
@@ -277,12 +283,19 @@ def parent_tile(spark, d):
     return t.select(grid.parent_tile(F.col("tile"), 50_000).alias("parent")).distinct()
 
 
-@C.add("quadrant_id")
+@C.add("quadrant_id", over("pts", f"""{_GRID}, s AS (SELECT id, e, n, {_SHEET} AS sheet, floor((e - 1012000) / 24000) AS c, floor((6234000 - n) / 36000) AS r FROM g),
+  t AS (SELECT *, least(floor((e - (1012000 + c * 24000)) / 4800.0), 4) AS tc, least(floor(((6234000 - r * 36000) - n) / 7200.0), 4) AS tr FROM s)
+  SELECT id, sheet || '_10000_' || lpad((tr + 1)::BIGINT::VARCHAR, 2, '0') || lpad((tc + 1)::BIGINT::VARCHAR, 2, '0') || '_'
+  || CASE WHEN n > 6234000 - r * 36000 - tr * 7200 - 3600 THEN 'N' ELSE 'S' END || CASE WHEN e >= 1012000 + c * 24000 + tc * 4800 + 2400 THEN 'E' ELSE 'W' END AS quadrant FROM t"""))
 def quadrant_id(spark, d):
     return _grid(spark, d).select("id", grid.quadrant(F.col("e"), F.col("n")).alias("quadrant"))
 
 
-@C.add("window_tiles")
+@C.add("window_tiles", over("pts", f"""{_GRID}, b AS (SELECT id, unnest(range(floor((6234000 - (n + 3000)) / 3600)::BIGINT, ceil((6234000 - (n - 3000)) / 3600)::BIGINT)) AS tile_row,
+  floor((e - 3000 - 1012000) / 2400)::BIGINT AS c0, ceil((e + 3000 - 1012000) / 2400)::BIGINT AS c1 FROM g), t AS (SELECT id, tile_row, unnest(range(c0, c1)) AS tile_col FROM b),
+  m AS (SELECT id, tile_row, tile_col, 1012000 + (tile_col + 0.5::DOUBLE) * 2400 AS e, 6234000 - (tile_row + 0.5::DOUBLE) * 3600 AS n FROM t)
+  SELECT id, tile_row, tile_col, {_SHEET} || '_5000_' || lpad((tile_row - 10 * floor(tile_row / 10) + 1)::BIGINT::VARCHAR, 2, '0')
+  || lpad((tile_col - 10 * floor(tile_col / 10) + 1)::BIGINT::VARCHAR, 2, '0') AS tile FROM m"""))
 def window_tiles(spark, d):
     g = _grid(spark, d).select("id", (F.col("e") - 3000).alias("xmin"), (F.col("n") - 3000).alias("ymin"), (F.col("e") + 3000).alias("xmax"), (F.col("n") + 3000).alias("ymax"))
     return grid.window_tiles(g, 5_000).select("id", "tile_row", "tile_col", "tile")
@@ -323,13 +336,19 @@ def line_measures(spark, d):
     return g.select("id", F.bround(geometry.length(F.col("line")), 6).alias("length"), F.bround(F.abs(geometry.ring_area(F.col("line"))), 4).alias("area"), b["xmin"].alias("xmin"), b["ymax"].alias("ymax"))
 
 
-@C.add("line_sampling")
+_LEGS = ", l AS (SELECT id, x, y, dx, dy, sqrt(dx * dx + dy * dy) AS a, abs(dy) AS b FROM pts)"
+
+
+@C.add("line_sampling", over("pts", f"""{_LEGS}, s AS (SELECT *, unnest(range(0, floor((a + b) / 25)::INT + 1))::INT AS k FROM l),
+  t AS (SELECT *, CASE WHEN k * 25 <= a AND a > 0 THEN k * 25 / a ELSE 1 END AS u, CASE WHEN k * 25 > a AND b > 0 THEN least((k * 25 - a) / b, 1) ELSE 0 END AS v FROM s)
+  SELECT id, k, round_even(x + u * dx, 6) AS x, round_even(y + (u - v) * dy, 6) AS y FROM t"""))
 def line_sampling(spark, d):
     g = _line(spark, d)
     return g.select("id", F.posexplode(geometry.sample(F.col("line"), 25.0)).alias("k", "p")).select("id", "k", r6(F.col("p.x")).alias("x"), r6(F.col("p.y")).alias("y"))
 
 
-@C.add("line_midpoint")
+@C.add("line_midpoint", over("pts", f"""{_LEGS}, t AS (SELECT *, CASE WHEN a > 0 THEN (a + b) / 2 / a ELSE 0 END AS u FROM l)
+  SELECT id, round_even(x + u * dx, 6) AS x, round_even(y + u * dy, 6) AS y FROM t"""))
 def line_midpoint(spark, d):
     return _line(spark, d).select("id", geometry.midpoint(F.col("line")).alias("p")).select("id", r6(F.col("p.x")).alias("x"), r6(F.col("p.y")).alias("y"))
 

@@ -38,7 +38,8 @@ def schema_map(spark, d):
     return catalog.harmonise(table(spark, d, "part"), spec, schema, "parts")
 
 
-@C.add("missing_fields")
+@C.add("missing_fields", """WITH want(field, name) AS (VALUES ('P_BRAND', 'p_brand'), ('width', 'width'), ('height|depth', 'height'), ('height|depth', 'depth'), ('x|p_type', 'x'), ('x|p_type', 'p_type'))
+  SELECT field FROM want LEFT JOIN (SELECT lower(column_name) AS name, 1 AS there FROM (DESCRIBE part)) USING (name) GROUP BY field HAVING count(there) = 0""")
 def missing_fields(spark, d):
     gone = catalog.missing_fields(table(spark, d, "part").columns, {"a": "P_BRAND", "b": "width", "c": ["height", "depth"], "d": ["x", "p_type"]})
     return spark.createDataFrame([(g,) for g in gone], "field string")
@@ -224,7 +225,8 @@ def varying_columns(spark, d):
     return rules.varying_columns(o, ["a", "b"])
 
 
-@C.add("column_patterns")
+@C.add("column_patterns", """SELECT column_name AS name FROM (DESCRIBE lineitem) WHERE column_type IN ('DOUBLE', 'FLOAT', 'INTEGER', 'BIGINT', 'SMALLINT', 'TINYINT', 'BOOLEAN')
+  AND (column_name = 'l_tax' OR NOT (column_name GLOB 'l_*key' OR column_name GLOB 'l_t*'))""")
 def column_patterns(spark, d):
     names = rules.select_columns(table(spark, d, "lineitem"), ["l_tax"], ["l_*key", "l_t*"])
     return spark.createDataFrame([(n,) for n in names], "name string")

@@ -174,6 +174,16 @@ def test_canonical_keys():
     assert scalars.content_key({"a": 1, "b": 2.0}) == scalars.content_key({"b": 2, "a": 1.0})
     with pytest.raises(ValueError):
         scalars.canonical(float("nan"))
+
+
+def test_content_keys_of_rows(spark):
+    rows = [(1, "a b", None), (-7, 'q"\\/\u00e9', 3), (None, "", 0)]
+    d = spark.createDataFrame(rows, "k long, t string, a int")
+    got = [r[0] for r in d.select(scalars.content_key_of({"k": F.col("k"), "t": F.col("t"), "a": F.col("a")})).collect()]
+    assert got == [scalars.content_key({"k": k, "t": t, "a": a}) for k, t, a in rows]
+
+
+def test_merge_and_flatten():
     assert scalars.merge_deep({"a": {"x": 1, "y": 2}}, {"a": {"y": 3}}) == {"a": {"x": 1, "y": 3}}
     assert scalars.flatten({"a": {"b": 1}, "c": 2}) == {"a.b": 1, "c": 2}
     assert scalars.read_mapping("{'a': 1}") == {"a": 1} == scalars.read_mapping('{"a": 1}')
