@@ -338,34 +338,74 @@ def breach(z: np.ndarray, longest: float = 100.0, cell: float = 1.0, flat: float
     return out, paths
 
 
-def flow_directions(filled: np.ndarray) -> np.ndarray:
-    """Index of the steepest step in STEPS, -1 for none; flats drain towards their outlets by breadth-first distance."""
-    h, w = filled.shape
-    best, out = np.zeros((h, w)), np.full((h, w), -1, np.int8)
+def steepest(z: np.ndarray) -> np.ndarray:
+    """Index of the steepest falling step in STEPS, -1 for none."""
+    best, out = np.zeros(z.shape), np.full(z.shape, -1, np.int8)
     for k, (dr, dc) in enumerate(STEPS):
-        fall = (filled - shift(filled, dr, dc, np.nan)) / (ROOT2 if dr and dc else 1.0)
+        fall = (z - shift(z, dr, dc, np.nan)) / (ROOT2 if dr and dc else 1.0)
         win = fall > best
         best, out = np.where(win, fall, best), np.where(win, k, out)
-    edge = outlets(filled)
-    todo = deque((r, c) for r, c in zip(*np.nonzero((out >= 0) | edge)))
-    while todo:
-        r, c = todo.popleft()
-        for k, (dr, dc) in enumerate(STEPS):
+    return out
+
+
+def flat_distance(z: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """The least seed plus steps inside a flat (equal heights, eight-connected); inf where no finite seed is reached."""
+    (h, w), dist = z.shape, np.where(np.isnan(z), np.inf, seed)
+    front = np.zeros(z.shape, bool)
+    for dr, dc in STEPS:
+        front |= (shift(z, dr, dc, np.nan) == z) & (shift(dist, dr, dc, -1.0) > dist + 1)
+    heap = [(dist[r, c], r, c) for r, c in np.argwhere(front).tolist()]
+    heapq.heapify(heap)
+    while heap:
+        d, r, c = heapq.heappop(heap)
+        if d > dist[r, c]:
+            continue
+        for dr, dc in STEPS:
             i, j = r + dr, c + dc
-            if 0 <= i < h and 0 <= j < w and out[i, j] < 0 and not edge[i, j] and filled[i, j] == filled[r, c]:
-                out[i, j] = 7 - k  # the opposite step
-                todo.append((i, j))
+            if 0 <= i < h and 0 <= j < w and z[i, j] == z[r, c] and dist[i, j] > d + 1:
+                dist[i, j] = d + 1
+                heapq.heappush(heap, (d + 1, i, j))
+    return dist
+
+
+def along_flats(z: np.ndarray, direction: np.ndarray, dist: np.ndarray) -> np.ndarray:
+    """Directions with those of flat cells added: the first step in STEPS to a cell of the flat that is one step nearer."""
+    out = direction.copy()
+    for k, (dr, dc) in enumerate(STEPS):
+        hit = (out < 0) & (dist > 0) & np.isfinite(dist) & (shift(z, dr, dc, np.nan) == z) & (shift(dist, dr, dc, np.inf) == dist - 1)
+        out[hit] = k
     return out
 
 
+def flow_directions(filled: np.ndarray) -> np.ndarray:
+    """Index of the steepest step in STEPS, -1 for none; flats drain towards their outlets by breadth-first distance."""
+    out = steepest(filled)
+    return along_flats(filled, out, flat_distance(filled, np.where((out >= 0) | outlets(filled), 0.0, np.inf)))
+
+
+def downstream(direction: np.ndarray) -> np.ndarray:
+    """The flat index of the cell that each cell flows to, -1 if there is none in the array."""
+    place = np.arange(direction.size).reshape(direction.shape)
+    down = np.full(direction.shape, -1, np.int64)
+    for k, (dr, dc) in enumerate(STEPS):
+        at = direction == k
+        down[at] = shift(place, dr, dc, -1)[at]
+    return down.ravel()
+
+
+def path_ends(direction: np.ndarray) -> np.ndarray:
+    """The flat index of the last cell in the array on each cell's way down."""
+    down = downstream(direction)
+    last = np.where(down >= 0, down, np.arange(down.size))
+    while not np.array_equal(last, last[last]):
+        last = last[last]
+    return last
+
+
 def accumulate(direction: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Own amount plus that of everything upstream, by peeling cells without open inflow."""
     h, w = direction.shape
-    place = np.arange(h * w).reshape(h, w)
-    down = np.full(h * w, -1, np.int64)
-    for k, (dr, dc) in enumerate(STEPS):
-        at = direction == k
-        down[place[at]] = shift(place, dr, dc, -1)[at]
+    down = downstream(direction)
     degree = np.bincount(down[down >= 0], minlength=h * w)
     total = own.astype(float).ravel().copy()
     front = np.flatnonzero((degree == 0) & (down >= 0))
@@ -566,14 +606,15 @@ def cut_through(z: np.ndarray, path: list[tuple[int, int]], cut: np.ndarray, cel
     return {"crest": path[crest], "length_m": float(span), "height_m": float(heights[crest] - max(up, down)), "bed_up": float(up), "bed_down": float(down)}
 
 
-def strahler_streams(direction: np.ndarray, area: np.ndarray, least: float) -> np.ndarray:
-    """Strahler order of cells with enough upstream area, 0 elsewhere; upstream cells first."""
+def strahler_streams(direction: np.ndarray, area: np.ndarray, least: float, given: np.ndarray | None = None) -> np.ndarray:
+    """Strahler order of cells with enough upstream area, 0 elsewhere; upstream cells first. Cells where `given` is 0 or more
+    have that order."""
     h, w = direction.shape
     order, top, ties = np.zeros((h, w), int), np.zeros((h, w), int), np.zeros((h, w), int)
     stream = area >= least
     cells = np.argwhere(stream)
     for r, c in cells[np.argsort(area[stream], kind="stable")]:
-        order[r, c] = max(1, top[r, c] + (ties[r, c] >= 2))
+        order[r, c] = max(1, top[r, c] + (ties[r, c] >= 2)) if given is None or given[r, c] < 0 else given[r, c]
         k = direction[r, c]
         if k >= 0:
             i, j = r + STEPS[k][0], c + STEPS[k][1]

@@ -170,6 +170,116 @@ def fill(cells: DataFrame, size: int = 512) -> DataFrame:
             return state.select("row", "col", "z", "filled")
 
 
+def _dense(pdf: pd.DataFrame, **columns: float) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Places of the rows in an array around them, and the columns as such arrays (name: value where there is no row)."""
+    r, c = (pdf["row"] - pdf["row"].min()).to_numpy(), (pdf["col"] - pdf["col"].min()).to_numpy()
+    out = []
+    for name, empty in columns.items():
+        a = np.full((r.max() + 1, c.max() + 1), empty)
+        a[r, c] = pdf[name].to_numpy()
+        out.append(a)
+    return r, c, out
+
+
+def flat_distances(cells: DataFrame, size: int = 512) -> DataFrame:
+    """row, col, z, dist: steps inside its flat from each cell to the nearest one that falls or is an outlet, inf in pits and
+    without data. Rounds as in `fill`: as many as tiles that such a way crosses, and one more."""
+    ship_package(cells.sparkSession)
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c, (z, dist, core) = _dense(pdf, z=np.nan, dist=np.inf, core=False)
+        start = ((kernels.steepest(z) >= 0) | kernels.outlets(z)) & core
+        new = kernels.flat_distance(z, np.where(start, 0.0, dist))
+        own = pdf["core"].to_numpy()
+        got, before = new[r[own], c[own]], pdf["dist"].to_numpy(dtype=float)[own]
+        return pd.DataFrame({"row": pdf["row"][own], "col": pdf["col"][own], "z": pdf["z"][own], "dist": got, "fell": got < before})
+
+    state = cells.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("z").cast("double").alias("z"), F.lit(float("inf")).alias("dist"))
+    while True:
+        dealt = with_halo(state.select("row", "col", "z", "dist"), size, 1)
+        state = materialize(dealt.groupBy("tr", "tc").applyInPandas(work, "row long, col long, z double, dist double, fell boolean"), "flats")
+        if state.where("fell").isEmpty():
+            return state.select("row", "col", "z", "dist")
+
+
+def pit_flats(cells: DataFrame, size: int = 512) -> DataFrame:
+    """row, col: the first cell of each pit of the whole raster. Touching pit cells have one height, so parts are pits."""
+    inside = flat_distances(cells, size).select("row", "col", ((F.col("dist") == float("inf")) & F.col("z").isNotNull() & ~F.isnan("z")).alias("hit"))
+    return parts(inside, size).groupBy("component").agg(F.min(F.struct("row", "col")).alias("m")).select("m.row", "m.col")
+
+
+def directions(filled: DataFrame, size: int = 512) -> DataFrame:
+    """filled: row, col, z. row, col, z, direction (index in STEPS, -1 for none) as on the whole raster."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c, (z, dist) = _dense(pdf, z=np.nan, dist=np.inf)
+        got, own = kernels.along_flats(z, kernels.steepest(z), dist), pdf["core"].to_numpy()
+        return pd.DataFrame({"row": pdf["row"][own], "col": pdf["col"][own], "z": pdf["z"][own], "direction": got[r[own], c[own]].astype(int)})
+
+    dealt = with_halo(flat_distances(filled, size), size, 1)
+    return materialize(dealt.groupBy("tr", "tc").applyInPandas(work, "row long, col long, z double, direction int"), "directions")
+
+
+def accumulate(routed: DataFrame, own: float = 1.0, size: int = 512) -> DataFrame:
+    """routed: row, col, direction. Adds area: `own` of each cell and of all cells upstream of it in the whole raster.
+
+    Tiles are added up alone first and say which of their edge cells flow out, and through which of them each edge cell
+    leaves. The sums of these outflows along their forest, a table of tile edges, are what the tiles then take in."""
+    from .graph import upstream_sum
+
+    ship_package(routed.sparkSession)
+    steps = np.array(kernels.STEPS)
+    tile = [F.floor(F.col(c) / size).alias(k) for c, k in (("row", "tr"), ("col", "tc"))]
+
+    def edges(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c, (d,) = _dense(pdf, direction=-1)
+        row, col, way = pdf["row"].to_numpy(), pdf["col"].to_numpy(), pdf["direction"].to_numpy()
+        place = np.full(d.size, -1)
+        place[r * d.shape[1] + c] = np.arange(len(row))
+        last = place[kernels.path_ends(d)[r * d.shape[1] + c]]
+        to = np.stack([row, col], 1) + np.where((way >= 0)[:, None], steps[way], 0)
+        out = (to[:, 0] // size != row // size) | (to[:, 1] // size != col // size)
+        rim = np.isin(row % size, (0, size - 1)) | np.isin(col % size, (0, size - 1))
+        area = kernels.accumulate(d, np.full(d.shape, own))[r, c]
+        return pd.DataFrame({"row": row, "col": col, "area": area, "out": out, "to_row": to[:, 0], "to_col": to[:, 1], "last_row": row[last], "last_col": col[last]})[rim]
+
+    def totals(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c, (d, inflow) = _dense(pdf, direction=-1, inflow=0.0)
+        area = kernels.accumulate(d, own + inflow)
+        return pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "direction": pdf["direction"], "area": area[r, c]})
+
+    cells = routed.select("row", "col", F.col("direction").cast("int").alias("direction"))
+    ddl = "row long, col long, area double, out boolean, to_row long, to_col long, last_row long, last_col long"
+    rim = materialize(cells.withColumns({"tr": tile[0], "tc": tile[1]}).groupBy("tr", "tc").applyInPandas(edges, ddl), "tile-edges")
+    name = lambda r, c: F.col(r) * F.lit(1 << 31) + F.col(c)
+    exits = rim.where("out").select(name("row", "col").alias("id"), "to_row", "to_col", "area")
+    leaves = rim.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), name("last_row", "last_col").alias("next"))
+    forest = exits.join(leaves, ["to_row", "to_col"]).join(exits.select(F.col("id").alias("next"), F.lit(True).alias("goes_on")), "next", "left")
+    forest = materialize(forest.select("id", F.when(F.col("goes_on"), F.col("next")).alias("parent"), "area", "to_row", "to_col"), "tile-flows")
+    inflow = forest.join(upstream_sum(forest, "area"), "id").groupBy(F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(F.sum("total").alias("inflow"))
+    fed = cells.join(inflow, ["row", "col"], "left").withColumns({"inflow": F.coalesce("inflow", F.lit(0.0)), "tr": tile[0], "tc": tile[1]})
+    return materialize(fed.groupBy("tr", "tc").applyInPandas(totals, "row long, col long, direction int, area double"), "areas")
+
+
+def stream_order(areas: DataFrame, least: float, size: int = 512) -> DataFrame:
+    """areas: row, col, direction, area. Strahler order of the cells with enough area, 0 elsewhere, as on the whole raster.
+    Only these cells take part in the rounds, which end when no order changes."""
+    ship_package(areas.sparkSession)
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c, (d, area, core, before) = _dense(pdf, direction=-1, area=np.nan, core=False, stream_order=0)
+        got, own = kernels.strahler_streams(d, area, least, np.where(core, -1, before)), pdf["core"].to_numpy()
+        new = got[r[own], c[own]]
+        return pd.DataFrame({k: pdf[k][own] for k in ("row", "col", "direction", "area")} | {"stream_order": new, "changed": new != pdf["stream_order"].to_numpy()[own]})
+
+    state = areas.where(F.col("area") >= least).withColumn("stream_order", F.lit(0))
+    while True:
+        dealt = with_halo(state.select("row", "col", "direction", "area", "stream_order"), size, 1)
+        state = materialize(dealt.groupBy("tr", "tc").applyInPandas(work, "row long, col long, direction int, area double, stream_order int, changed boolean"), "orders")
+        if state.where("changed").isEmpty():
+            return areas.select("row", "col").join(state.select("row", "col", "stream_order"), ["row", "col"], "left").fillna({"stream_order": 0})
+
+
 def depressions(cells: DataFrame, least: float = 0.02, cell: float = 1.0, size: int = 512) -> DataFrame:
     """One row a filled area deeper than `least`: first_row, first_col, max_depth, area_m2, volume_m3."""
     deep = fill(cells, size).withColumn("depth", F.coalesce(F.nanvl(F.col("filled") - F.col("z"), F.lit(0.0)), F.lit(0.0)))

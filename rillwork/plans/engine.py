@@ -30,23 +30,21 @@ class Engine:
         ship_package(self.spark)
 
     def hydrology(self, cells: DataFrame) -> DataFrame:
-        """row, col, breached, filled, area, order of each cell: breach, fill, route and accumulate inside tiles with halo, so
-        upstream areas are those within the tile, as for any tiled run."""
+        """row, col, breached, filled, area, stream_order of each cell. Breaching runs inside tiles with halo; the fill, the
+        directions, the areas and the orders are those of the whole raster. No data is filled from the nearest cell to route over it."""
         p, cell = self.config.water, self.cell
 
         def work(z: np.ndarray) -> dict[str, np.ndarray]:
             breached, _ = kernels.breach(kernels.fill_nodata(z), p.dig_reach_m, cell, p.level_step_cost, p.noted_cut_m, p.dig_budget)
-            filled = kernels.flood_fill(breached)
-            direction = kernels.flow_directions(filled)
-            area = kernels.accumulate(direction, np.full(z.shape, cell * cell))
-            gone = np.isnan(z)
-            return {
-                "breached": np.where(gone, np.nan, breached), "filled": np.where(gone, np.nan, filled), "area": np.where(gone, np.nan, area),
-                "stream_order": kernels.strahler_streams(direction, area, 50.0 * cell * cell),
-            }
-
-        types = {"breached": "double", "filled": "double", "area": "double", "stream_order": "int"}
-        return tiles.run(cells, work, types, self.tile, self.halo)
+            return {"z": breached, "gone": np.isnan(z)}
+
+        cut = materialize(tiles.run(cells, work, {"z": "double", "gone": "boolean"}, self.tile, self.halo), "engine-breached")
+        filled = tiles.fill(cut.select("row", "col", "z"), self.tile)
+        areas = tiles.accumulate(tiles.directions(filled.select("row", "col", F.col("filled").alias("z")), self.tile), cell * cell, self.tile)
+        orders = tiles.stream_order(areas, 50.0 * cell * cell, self.tile)
+        rows = cut.join(filled.select("row", "col", "filled"), ["row", "col"]).join(areas.select("row", "col", "area"), ["row", "col"]).join(orders, ["row", "col"])
+        there = lambda c: F.when(~F.col("gone"), F.col(c)).otherwise(float("nan"))
+        return rows.select("row", "col", there("z").alias("breached"), there("filled").alias("filled"), there("area").alias("area"), "stream_order")
 
     def channels(self, cells: DataFrame) -> DataFrame:
         """row, col, channel, line: thresholded channels without small parts, and their pruned one-cell lines."""

@@ -32,10 +32,8 @@ _map("distance_to_mask", {"dist": "double"}, lambda z: {"dist": kernels.nearest(
   SELECT a."row", a.col, coalesce(sqrt(s), 'Infinity'::DOUBLE) AS dist FROM ras a LEFT JOIN n USING ("row", col)"""))
 _map("fill_from_nearest", {"filled": "double"}, lambda z: {"filled": kernels.fill_nodata(np.where(z > 0.2, np.nan, z))})
 _map("breach_surface", {"breached": "double"}, lambda z: {"breached": kernels.breach(z, 10.0)[0]})
-_map("accumulate", {"area": "double"}, lambda z: {"area": kernels.accumulate(kernels.flow_directions(kernels.flood_fill(z)), np.ones_like(z))})
 _map("thin", {"line": "boolean"}, lambda z: {"line": kernels.thin(z > 0.05)})
 _map("threshold_channels", {"strong": "boolean"}, lambda z: {"strong": kernels.strong_channels(z * 10, 1.0, Valleys().shapes)})
-_map("stream_order", {"stream_order": "int"}, lambda z: (lambda k: {"stream_order": kernels.strahler_streams(k, kernels.accumulate(k, np.ones_like(z)), 8.0)})(kernels.flow_directions(kernels.flood_fill(z))))
 _map("prune_spurs", {"line": "boolean"}, lambda z: {"line": kernels.prune(kernels.thin(z > 0.0), 4.0)})
 
 
@@ -46,7 +44,22 @@ def feature_stack(spark, d):
 
 @C.add("pit_flats")
 def pit_flats(spark, d):
-    return tiles.per_tile(ras(spark, d), lambda z, r, c: [{"row": r + i, "col": c + j} for i, j in kernels.pit_flats(z)], "row long, col long", SIZE, 0)
+    return tiles.pit_flats(ras(spark, d), SIZE)
+
+
+def _areas(spark, d):
+    filled = tiles.fill(ras(spark, d), SIZE).select("row", "col", F.col("filled").alias("z"))
+    return tiles.accumulate(tiles.directions(filled, SIZE), 1.0, SIZE)
+
+
+@C.add("accumulate")
+def accumulate(spark, d):
+    return _areas(spark, d).select("row", "col", "area")
+
+
+@C.add("stream_order")
+def stream_order(spark, d):
+    return tiles.stream_order(_areas(spark, d), 8.0, SIZE)
 
 
 @C.add("fill_depressions")

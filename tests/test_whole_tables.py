@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rillwork.operators import kernels, tiles
 from rillwork.plans import catalogue
@@ -113,3 +114,22 @@ def test_tile_size_changes_nothing(spark, size):
         weak, strong = z > 0.1, z > 0.3
     assert grid(tiles.hysteresis(cells.fillna(-9.0), "z > 0.1", "z > 0.3", size).collect(), "kept") == {p: bool(v) for p, v in np.ndenumerate(kernels.hysteresis(weak, strong))}
     assert grid(tiles.drop_small(cells.fillna(-9.0), "z > 0.1", 4, size).collect(), "kept") == {p: bool(v) for p, v in np.ndenumerate(kernels.drop_small(weak, 4))}
+
+
+@pytest.mark.parametrize("size", [16, 64])
+def test_flow_of_whole_rasters(spark, size):
+    z = np.round(np.random.default_rng(11).normal(0, 1, (45, 52)) + np.abs(np.arange(52) - 20) * 0.1)  # many flats, some across tiles
+    z[5:8, 40:44] = np.nan
+    cells = spark.createDataFrame([(i, j, float(z[i, j])) for i in range(45) for j in range(52)], "row long, col long, z double")
+    pits = [(r.row, r.col) for r in tiles.pit_flats(cells, size).collect()]
+    assert sorted(pits) == sorted((int(i), int(j)) for i, j in kernels.pit_flats(z)) and pits
+    level = kernels.flood_fill(z)
+    direction = kernels.flow_directions(level)
+    area = kernels.accumulate(direction, np.ones(z.shape))
+    order = kernels.strahler_streams(direction, area, 6.0)
+    filled = tiles.fill(cells, size).select("row", "col", F.col("filled").alias("z"))
+    areas = tiles.accumulate(tiles.directions(filled, size), 1.0, size)
+    rows = areas.join(tiles.stream_order(areas, 6.0, size), ["row", "col"]).collect()
+    assert len(rows) == z.size and order.max() >= 3
+    for r in rows:
+        assert (r.direction, r.area, r.stream_order) == (direction[r.row, r.col], area[r.row, r.col], order[r.row, r.col])
