@@ -339,7 +339,8 @@ def thin_crowds(postings: DataFrame, links: DataFrame | None, known: DataFrame,
             break
         named = postings.drop("label").join(known, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), "pos", "gram")
         apart = named.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
-        postings = scratch.keep(named.join(apart, "gram"), f"postings-{turn}")
+        # stored first: a join to a table, not to a sum over the same shuffle, is one whose crowded n-grams can be split
+        postings = scratch.keep(named.join(scratch.keep(apart, "apart"), "gram"), f"postings-{turn}")
         scratch.drop("postings" if turn == 0 else f"postings-{turn - 1}")
     return postings, links, known, tried
 
@@ -440,8 +441,9 @@ def linked_rows(docs: DataFrame, id_col: str, text: str, size: int, percent: int
     scratch.release()
     links, known = settle(found, links, known, nodes, docs, id_col, text, size, percent, PAIR_QUOTAS, scratch)
 
-    classes = least.join(known, "node", "left").select("s1", "s2", "n", "least_id", F.coalesce("label", "node").alias("label"))
-    smallest = classes.groupBy("label").agg(F.min("least_id").alias("component_id"))
+    classes = scratch.keep(least.join(known, "node", "left").select("s1", "s2", "n", "least_id", F.coalesce("label", "node").alias("label")), "classes")
+    # stored first, as above: a large component can be split in the join
+    smallest = scratch.keep(classes.groupBy("label").agg(F.min("least_id").alias("component_id")), "smallest")
     classes = materialize(classes.join(smallest, "label").select("s1", "s2", "n", "label", "component_id"), "jaccard-components")
     scratch.close()
     return (
