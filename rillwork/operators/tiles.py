@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship_package
@@ -20,17 +20,22 @@ from . import kernels
 Kernel = Callable[[np.ndarray], dict[str, np.ndarray]]
 
 
+def tile_of(c: str, size: int) -> Column:
+    """The tile of a row or column, in whole numbers: a double would put large ones into the wrong tile."""
+    return F.expr(f"`{c}` div {size}") - F.when(F.pmod(F.col(c), F.lit(size)) != F.col(c) % size, 1).otherwise(0)
+
+
 def with_halo(cells: DataFrame, size: int, halo: int) -> DataFrame:
     """Each cell once for its own tile and once for each tile whose halo it lies in: tr, tc, row, col, core and the rest."""
     if halo >= size:
         raise ValueError("the halo must be smaller than the tile")
 
     def tiles(c: str):
-        k, at = F.floor(F.col(c) / size), F.pmod(F.col(c), F.lit(size))
+        k, at = tile_of(c, size), F.pmod(F.col(c), F.lit(size))
         return F.filter(F.array(k, F.when(at < halo, k - 1), F.when(at >= size - halo, k + 1)), lambda v: v.isNotNull())
 
     wide = cells.withColumn("tr", F.explode(tiles("row"))).withColumn("tc", F.explode(tiles("col")))
-    core = (F.floor(F.col("row") / size) == F.col("tr")) & (F.floor(F.col("col") / size) == F.col("tc"))
+    core = (tile_of("row", size) == F.col("tr")) & (tile_of("col", size) == F.col("tc"))
     return wide.withColumn("core", core)
 
 
@@ -71,6 +76,28 @@ def per_tile(cells: DataFrame, work: Callable[[np.ndarray, int, int], list[dict]
     return with_halo(cells.select("row", "col", value), size, halo).groupBy("tr", "tc").applyInPandas(group, ddl)
 
 
+def distance(cells: DataFrame, cap: int, size: int = 512) -> DataFrame:
+    """cells: row, col, hit. Every row with dist, the distance in cells to the nearest cell that is hit, infinite beyond the
+    cap. A cell given more than once is hit if one of its rows is, and stays as many rows; one without row or column is far
+    from all others. Repeats are counted before the tiles, so a tile stays bounded, and only hit cells are copied to halos."""
+    ship_package(cells.sparkSession)
+    types = {f.name: f.dataType.simpleString() for f in cells.schema}
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c = (pdf["row"] - pdf["row"].min()).to_numpy(), (pdf["col"] - pdf["col"].min()).to_numpy()
+        mask = np.zeros((r.max() + 1, c.max() + 1), bool)
+        mask[r, c] = pdf["hit"].to_numpy(dtype=bool)
+        own = pdf["core"].to_numpy(dtype=bool)
+        return pd.DataFrame({k: pdf[k][own] for k in ("row", "col", "n")} | {"dist": kernels.nearest(mask, cap)[0][r[own], c[own]]})
+
+    placed = F.col("row").isNotNull() & F.col("col").isNotNull()
+    once = cells.where(placed).groupBy("row", "col").agg(F.coalesce(F.max("hit"), F.lit(False)).alias("hit"), F.count("*").cast("int").alias("n"))
+    dealt = with_halo(once, size, cap + 1).where("core or hit").groupBy("tr", "tc")
+    near = dealt.applyInPandas(work, f"row {types['row']}, col {types['col']}, n int, dist double")
+    every = near.select("row", "col", "dist", F.explode(F.array_repeat(F.lit(0), F.col("n"))).alias("k")).select("row", "col", "dist")
+    return every.unionByName(cells.where(~placed).select("row", "col", F.lit(float("inf")).alias("dist")))
+
+
 def feature_stack(cells: DataFrame, cell: float = 1.0, size: int = 512, halo: int = 48) -> DataFrame:
     """Relief, top-hats, curvature and openness bands; no data is filled from the nearest cell and masked again."""
     from ..config import Terrain
@@ -229,7 +256,7 @@ def accumulate(routed: DataFrame, own: float = 1.0, size: int = 512) -> DataFram
 
     ship_package(routed.sparkSession)
     steps = np.array(kernels.STEPS)
-    tile = [F.floor(F.col(c) / size).alias(k) for c, k in (("row", "tr"), ("col", "tc"))]
+    tile = [tile_of(c, size).alias(k) for c, k in (("row", "tr"), ("col", "tc"))]
 
     def edges(pdf: pd.DataFrame) -> pd.DataFrame:
         r, c, (d,) = _dense(pdf, direction=-1)

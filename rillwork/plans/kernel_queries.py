@@ -26,10 +26,6 @@ _map("median_relief", {"relief": "double"}, lambda z: {"relief": kernels.median_
   SELECT n."row", n.col, n.z - quantile_cont(b.z, 0.5) AS relief FROM n JOIN ras b ON b."row" = n.r AND b.col = n.c GROUP BY n."row", n.col, n.z"""))
 _map("gaussian_curvature", {"valley": "double", "ridge": "double"}, lambda z: dict(zip(("valley", "ridge"), kernels.hessian(z, 1.0))))
 _map("openness", {"up": "double", "down": "double"}, lambda z: dict(zip(("up", "down"), kernels.openness(z, 5.0))))
-_map("distance_to_mask", {"dist": "double"}, lambda z: {"dist": kernels.nearest(z > 0.25, 15)[0]}, over("ras", """, k AS (SELECT unnest(range(-15, 16)) AS k),
-  o AS (SELECT i.k AS dr, j.k AS dc, i.k * i.k + j.k * j.k AS s FROM k i, k j WHERE i.k * i.k + j.k * j.k <= 225),
-  n AS (SELECT m."row" + dr AS "row", m.col + dc AS col, min(s) AS s FROM ras m, o WHERE m.z > 0.25 GROUP BY 1, 2)
-  SELECT a."row", a.col, coalesce(sqrt(s), 'Infinity'::DOUBLE) AS dist FROM ras a LEFT JOIN n USING ("row", col)"""))
 _map("fill_from_nearest", {"filled": "double"}, lambda z: {"filled": kernels.fill_nodata(np.where(z > 0.2, np.nan, z))})
 _map("breach_surface", {"breached": "double"}, lambda z: {"breached": kernels.breach(z, 10.0)[0]})
 _map("thin", {"line": "boolean"}, lambda z: {"line": kernels.thin(z > 0.05)})
@@ -37,6 +33,14 @@ _map("threshold_channels", {"strong": "boolean"}, lambda z: {"strong": kernels.s
 _map("prune_spurs", {"line": "boolean"}, lambda z: {"line": kernels.prune(kernels.thin(z > 0.0), 4.0)})
 
 
+@C.add("distance_to_mask", over("ras", """, k AS (SELECT unnest(range(-15, 16)) AS k),
+  o AS (SELECT i.k AS dr, j.k AS dc, i.k * i.k + j.k * j.k AS s FROM k i, k j WHERE i.k * i.k + j.k * j.k <= 225),
+  n AS (SELECT m."row" + dr AS "row", m.col + dc AS col, min(s) AS s FROM ras m, o WHERE m.z > 0.25 GROUP BY 1, 2)
+  SELECT a."row", a.col, coalesce(sqrt(s), 'Infinity'::DOUBLE) AS dist FROM ras a LEFT JOIN n USING ("row", col)"""))
+def distance_to_mask(spark, d):
+    return tiles.distance(ras(spark, d).select("row", "col", (F.col("z") > 0.25).alias("hit")), 15, SIZE)
+
+
 @C.add("feature_stack")
 def feature_stack(spark, d):
     return tiles.feature_stack(ras(spark, d), size=128, halo=24)

@@ -133,3 +133,19 @@ def test_flow_of_whole_rasters(spark, size):
     assert len(rows) == z.size and order.max() >= 3
     for r in rows:
         assert (r.direction, r.area, r.stream_order) == (direction[r.row, r.col], area[r.row, r.col], order[r.row, r.col])
+
+
+def test_distance_to_mask_of_odd_rasters(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    z = np.random.default_rng(13).normal(0, 0.13, (150, 20))
+    rows = [(i, [None if i == 7 and j == 3 else float(x) for j, x in enumerate(row)]) for i, row in enumerate(z)]
+    rows += [(i, [0.0] * 20) for i in range(100, 150)]  # rows given twice
+    rows += [(i, [float("nan")] + [0.0] * 18 + [float("-inf")]) for i in (20, 130)] + [(None, [1.0] * 3), (None, [1.0] * 3), (151, None), (152, [])]
+    rows += [(i - 400, [1.0 if i == 15 else 0.0]) for i in range(40)]
+    rows += [(10**18 + i, [1.0 if i % 37 == 0 else 0.0] * 5) for i in range(160)]  # beyond what a double tells apart
+    spark.createDataFrame([(i, e, 0) for i, e in rows], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = duck.sql(f'select "row", col, dist from ({catalogue.oracle_sql()["distance_to_mask"]})').fetchall()
+    got = [tuple(r) for r in Q["distance_to_mask"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and any(r[2] == np.inf and r[0] is not None for r in got)
