@@ -9,10 +9,11 @@ filters; every surviving pair is verified once on whole texts.
 3. Stars: nodes that share a minimum hash are verified against the group's least node only. This links the bulk of large
    groups of near copies with a number of pairs in proportion to the number of nodes.
 4. Crowds: where an n-gram's postings still make many pairs of different components, its nodes are verified against a leader
-   picked anew in each round, as long as a round closes a quarter of these pairs.
+   picked anew in each round, as long as a round closes a quarter of these pairs, then once against LEADERS leaders.
 5. Prefix join: only n-grams whose postings lie in two or more of the components can bring anything new. These
-   postings are joined on the n-gram with the length and positional filters, and the distinct pairs pass the suffix filter
-   (a bound on the Hamming distance by counts of hash ranges).
+   postings are joined on the n-gram with the length, positional and bit filters (two sets differ in at least as many
+   n-grams as the parities of their counts in RANGES hash ranges differ), and the distinct pairs pass the suffix filter
+   (the same bound by the counts themselves).
 6. Rounds: of the pairs between any two components the most promising ones are verified first; pairs whose components have
    met since are settled without verification. A pair is passed over only if links already connect it, so the components
    are those of all links, and no pair is verified twice.
@@ -46,12 +47,14 @@ BUCKETS = 1 << 20
 PIECE = 1 << 12
 STARS = 4
 RANGES = 256
+BITS = [f"bits{k}" for k in range(RANGES // 64)]
 MEMBERS = 512  # of one leader in a task
 STAR_QUOTAS = (0,)  # first each node's best leader, then all that are not connected by that
 PAIR_QUOTAS = (1, 64)  # first the best pair of any two components, then 64, then all that are left
 CROWD = 8  # open pairs a posting from which an n-gram is a crowd
 TURN_PAIRS = 16  # of a node in a round over crowds
 MOST_TURNS = 16
+LEADERS = 8  # of an n-gram in the last round over crowds
 FILTER_BITS = 24
 _U = np.uint64
 
@@ -135,7 +138,7 @@ def _pieces(tables: dict[int, np.ndarray]) -> pa.RecordBatch:
 
 
 def profiles(docs: DataFrame, id_col: str, text: str, size: int, percent: int, scratch: Scratch) -> DataFrame:
-    """row, doc_id, mark (hash of the text), n, s1, s2 (hash of the set), prefix (rare first), ranges, keys; stored."""
+    """row, doc_id, mark (hash of the text), n, s1, s2 (hash of the set), prefix (rare first), ranges, bits, keys; stored."""
     table = counters(docs, text, size)
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -144,7 +147,7 @@ def profiles(docs: DataFrame, id_col: str, text: str, size: int, percent: int, s
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, s1, s2, keys, prefix, ranges = [], [], [], [], [], []
+            n, s1, s2, keys, prefix, ranges, bits = [], [], [], [], [], [], []
             for h in text_sets(batch.column("text"), size):
                 n.append(len(h))
                 s1.append(np.add.reduce(mix(h ^ _U(0xA5A5)), dtype=_U).astype(np.int64) if len(h) else 0)
@@ -152,17 +155,19 @@ def profiles(docs: DataFrame, id_col: str, text: str, size: int, percent: int, s
                 keys.append([int((h * s).min().astype(np.int64)) for s in seeds] if len(h) else [])
                 order = np.lexsort((h, table[(h >> shift).astype(np.int64)]))[: prefix_length(len(h), percent)] if len(h) else []
                 prefix.append(h[order].astype(np.int64))
-                ranges.append(np.minimum(np.bincount((h & _U(RANGES - 1)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes())
+                count = np.bincount((h & _U(RANGES - 1)).astype(np.int64), minlength=RANGES)
+                ranges.append(np.minimum(count, 255).astype(np.uint8).tobytes())
+                bits.append(np.packbits(count & 1).tobytes())
             size_of = np.array([len(p) for p in prefix], np.int32)
             flat = pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64), pa.int64())
             listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size_of)), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64())), listed, pa.array(ranges, pa.binary())],
-                ["doc_id", "mark", "n", "s1", "s2", "keys", "prefix", "ranges"],
+                 pa.array(keys, pa.list_(pa.int64())), listed, pa.array(ranges, pa.binary()), pa.array(bits, pa.binary())],
+                ["doc_id", "mark", "n", "s1", "s2", "keys", "prefix", "ranges", "bits"],
             )
 
-    out = source.mapInArrow(frugal(work), f"doc_id {kind}, mark long, n int, s1 long, s2 long, keys array<long>, prefix array<long>, ranges binary")
+    out = source.mapInArrow(frugal(work), f"doc_id {kind}, mark long, n int, s1 long, s2 long, keys array<long>, prefix array<long>, ranges binary, bits binary")
     return scratch.keep(out.withColumn("row", F.monotonically_increasing_id()), "profiles")
 
 
@@ -303,25 +308,29 @@ def crowds(postings: DataFrame) -> DataFrame:
 def thin_crowds(postings: DataFrame, links: DataFrame | None, known: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text: str, size: int, percent: int, scratch: Scratch):
     """Connects large groups of near copies before the join: while n-grams have many more pairs of different components than
     postings, each node of such an n-gram is verified against a leader of it, picked anew in every round by hash, so that the
-    pairs of a round are no more than the postings. Ends when no crowd is left or a round has not closed a quarter of its open pairs; the
+    pairs of a round are no more than the postings. Ends when no crowd is left, or with a round of LEADERS leaders an n-gram
+    after one that has not closed a quarter of its open pairs: what is left then are nodes that link with few of their group. The
     join that follows is over all pairs that are still open, so nothing depends on how far this comes.
 
-    postings: node, n, label, pos, gram. Returns the postings of n-grams that are still in several components, links,
+    postings: node, n, label, pos, gram and BITS. Returns the postings of n-grams that are still in several components, links,
     components and the pairs (u, v) that were decided (None if none was)."""
-    tried, before = None, float("inf")
+    tried, before, last = None, float("inf"), False
     for turn in range(MOST_TURNS):
         crowd = scratch.keep(crowds(postings).where(F.col("open") > CROWD * F.col("c")).select("gram", "open"), "crowd")
         left = crowd.agg(F.sum("open")).first()[0]
-        if left is None or left > 0.75 * before:
+        if left is None or last:
             break
+        last = left > 0.75 * before
         before, crowd = left, crowd.select("gram")
         inside = postings.join(crowd, "gram")
-        mark = F.struct(F.xxhash64("node", "gram", F.lit(turn)).alias("mark"), *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "label", "pos")])
-        leaders = scratch.keep(inside.groupBy("gram").agg(F.min(mark).alias("m")).select("gram", "m.*"), "crowd-leaders")
+        part = F.pmod(F.xxhash64("gram", "node", F.lit(turn)), F.lit(LEADERS if last else 1))
+        mark = F.struct(F.xxhash64("node", "gram", F.lit(turn)).alias("mark"), *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "label", "pos", *BITS)])
+        leaders = scratch.keep(inside.groupBy("gram", part.alias("part")).agg(F.min(mark).alias("m")).select("gram", "m.*"), "crowd-leaders")
         rows = inside.join(leaders, "gram").where(F.col("label") != F.col("label_b"))
         need = _may_link(F.col("n"), F.col("n_b"), percent)
         rows = rows.where(F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b")) >= need)
         rows = rows.where(percent * F.greatest("n", "n_b").cast("long") <= 100 * F.least("n", "n_b").cast("long"))
+        rows = rows.where(_bits_apart("", "_b") <= F.col("n") + F.col("n_b") - 2 * need)
         # as in the join, u is the end with fewer n-grams
         forward = F.struct("n", "node") < F.struct("n_b", "node_b")
         ends = rows.select("node", F.when(forward, F.col("node")).otherwise(F.col("node_b")).alias("u"), F.when(forward, F.col("node_b")).otherwise(F.col("node")).alias("v"))
@@ -332,12 +341,14 @@ def thin_crowds(postings: DataFrame, links: DataFrame | None, known: DataFrame,
         pairs = pairs.withColumn("place", F.row_number().over(few)).where(F.col("place") <= TURN_PAIRS).groupBy("u", "v").agg(F.max("c").alias("c"))
         pairs = scratch.keep(pairs, "crowd-pairs")
         if pairs.isEmpty():
-            break
+            before = 0
+            continue
         links, new, known = decide(pairs, links, nodes, docs, id_col, text, size, percent, scratch)
         tried = pairs.select("u", "v") if tried is None else tried.unionByName(pairs.select("u", "v"))
         if new.isEmpty():
-            break
-        named = postings.drop("label").join(known, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), "pos", "gram")
+            before = 0
+            continue
+        named = postings.drop("label").join(known, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), "pos", "gram", *BITS)
         apart = named.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
         # stored first: a join to a table, not to a sum over the same shuffle, is one whose crowded n-grams can be split
         postings = scratch.keep(named.join(scratch.keep(apart, "apart"), "gram"), f"postings-{turn}")
@@ -351,6 +362,11 @@ def _may_link(n, m, percent: int):
     return ((x - x % (100 + percent)) / (100 + percent)).cast("long")
 
 
+def _bits_apart(a: str, b: str):
+    """In how many bits two sets differ, a bound on how many n-grams are in one of them only, as a column."""
+    return sum((F.bit_count(F.col(f"{c}{a}").bitwiseXOR(F.col(f"{c}{b}"))) for c in BITS), F.lit(0))
+
+
 def passes_ranges(pairs: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The suffix filter on pairs (u, v, c): |a - b| + |b - a| is at least the summed differences of the counts in fixed hash
     ranges (counts over 255 stand for 255, which only lowers the sum), and at most n + m - 2 * least overlap for a link."""
@@ -369,7 +385,7 @@ def passes_ranges(pairs: DataFrame, nodes: DataFrame, percent: int, scratch: Scr
 
 
 def _gram_rows(nodes: DataFrame, words: np.ndarray) -> DataFrame:
-    """node, n, label, pos, gram of the prefix n-grams in the bitmap."""
+    """node, n, label, pos, gram and BITS of the prefix n-grams in the bitmap."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -380,12 +396,14 @@ def _gram_rows(nodes: DataFrame, words: np.ndarray) -> DataFrame:
             pos = np.arange(len(grams)) - np.repeat(np.cumsum(count) - count, count)
             hit = in_bitmap(words, grams)
             take = pa.array(row[hit])
+            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), "<i8").reshape(-1, len(BITS))[row[hit]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node").take(take), batch.column("n").take(take), batch.column("label").take(take), pa.array(pos[hit].astype(np.int32)), pa.array(grams[hit])],
-                ["node", "n", "label", "pos", "gram"],
-            )
+                [batch.column("node").take(take), batch.column("n").take(take), batch.column("label").take(take), pa.array(pos[hit].astype(np.int32)), pa.array(grams[hit]),
+                 *(pa.array(b) for b in np.ascontiguousarray(bits.T))],
+                ["node", "n", "label", "pos", "gram", *BITS],
+            )
 
-    return nodes.select("node", "n", "label", "prefix").mapInArrow(frugal(work), "node long, n int, label long, pos int, gram long")
+    return nodes.select("node", "n", "label", "prefix", "bits").mapInArrow(frugal(work), "node long, n int, label long, pos int, gram long" + "".join(f", {c} long" for c in BITS))
 
 
 def linked_rows(docs: DataFrame, id_col: str, text: str, size: int, percent: int) -> DataFrame:
@@ -397,7 +415,7 @@ def linked_rows(docs: DataFrame, id_col: str, text: str, size: int, percent: int
     least = scratch.keep(full.groupBy("s1", "s2", "n").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies")), "sets")
     # the rows that are not their set's first: few, so the wide rows are not shuffled where that list is small
     repeated = full.select("row", "s1", "s2", "n").join(least.where("copies > 1").select("s1", "s2", "n", "node"), ["s1", "s2", "n"]).where("row <> node").select("row")
-    nodes = full.join(scratch.keep(repeated, "repeated"), "row", "left_anti").withColumnRenamed("row", "node").select("node", "doc_id", "mark", "n", "prefix", "ranges", "keys")
+    nodes = full.join(scratch.keep(repeated, "repeated"), "row", "left_anti").withColumnRenamed("row", "node").select("node", "doc_id", "mark", "n", "prefix", "ranges", "bits", "keys")
     nodes = scratch.keep(nodes, "nodes")
     rows = materialize(wide.select("doc_id", "mark", "n", "s1", "s2"), "jaccard-rows")
     scratch.drop("profiles")
@@ -413,20 +431,22 @@ def linked_rows(docs: DataFrame, id_col: str, text: str, size: int, percent: int
         known = spark.createDataFrame([], "node long, label long")
 
     # prefix join between different components
-    named = nodes.select("node", "n", "prefix").join(known, "node", "left").select("node", "n", "prefix", F.coalesce("label", "node").alias("label"))
+    named = nodes.select("node", "n", "prefix", "bits").join(known, "node", "left").select("node", "n", "prefix", "bits", F.coalesce("label", "node").alias("label"))
     grams = named.select("label", F.explode("prefix").alias("gram")).groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     mixed = scratch.keep(grams.where("low <> high").select("gram"), "mixed")
     scratch.release()
     words = bitmap(mixed.select(F.col("gram").alias("key")))
-    postings = scratch.keep(_gram_rows(named, words).join(mixed, "gram").select("node", "n", "label", "pos", "gram"), "postings")
+    postings = scratch.keep(_gram_rows(named, words).join(mixed, "gram").select("node", "n", "label", "pos", "gram", *BITS), "postings")
     postings, links, known, tried = thin_crowds(postings, links, known, nodes, docs, id_col, text, size, percent, scratch)
-    a = postings.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "label", "pos")])
-    b = postings.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "label", "pos")])
+    a = postings.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "label", "pos", *BITS)])
+    b = postings.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "label", "pos", *BITS)])
+    overlap = _may_link(F.col("n_a"), F.col("n_b"), percent)
     near = (
         (F.struct("n_a", "node_a") < F.struct("n_b", "node_b"))
         & (F.col("label_a") != F.col("label_b"))
         & (100 * F.col("n_a").cast("long") >= percent * F.col("n_b").cast("long"))
-        & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= _may_link(F.col("n_a"), F.col("n_b"), percent))
+        & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= overlap)
+        & (_bits_apart("_a", "_b") <= F.col("n_a") + F.col("n_b") - 2 * overlap)
     )
     # n-grams shared before one that passes `near` stand earlier in both texts and pass too, so c counts all that are shared
     # up to the last one found, and only what follows it is unknown

@@ -139,3 +139,37 @@ def test_hashes_do_not_depend_on_place():
     g, at = shingle_hashes(h, first, 5)
     assert np.diff(at).tolist() == [len(shingles(t)) for t in texts]
     assert g[at[0]] == g[at[3]]
+
+
+def test_group_that_shares_much_and_links_little(spark, monkeypatch):
+    rng = random.Random(21)
+    base = [f"v{k}" for k in range(60)]
+    rows = []
+    for k in range(500):
+        words = list(base)
+        for at in rng.sample(range(60), 2):
+            words[at] = f"n{k}"
+        rows.append((k, " ".join(words)))
+    made, keep = {}, ngram_join.Scratch.keep
+
+    def counted(self, df, tag):
+        out = keep(self, df, tag)
+        made[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join.Scratch, "keep", counted)
+    got = ngram_join.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows)
+    assert made["pairs"] <= 8 * len(rows), made
+
+
+def test_bits_never_rule_out_a_link():
+    rng = np.random.default_rng(4)
+    for n in (3, 40, 400, 3000):
+        for _ in range(50):
+            a = rng.integers(0, 2**63, n, dtype=np.uint64)
+            b = np.append(a[int(rng.integers(0, n // 7 + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, n // 7 + 1)), dtype=np.uint64))
+            if not ngram_join.linked(np.unique(a), np.unique(b)):
+                continue
+            x, y = (np.bincount((np.unique(h) % 256).astype(int), minlength=256) & 1 for h in (a, b))
+            assert (x ^ y).sum() <= len(np.unique(a)) + len(np.unique(b)) - 2 * ngram_join.least_overlap(len(np.unique(a)), len(np.unique(b)))
