@@ -312,21 +312,27 @@ def thin_crowds(postings: DataFrame, links: DataFrame | None, known: DataFrame,
     after one that has not closed a quarter of its open pairs: what is left then are nodes that link with few of their group. The
     join that follows is over all pairs that are still open, so nothing depends on how far this comes.
 
-    postings: node, n, label, pos, gram and BITS. Returns the postings of n-grams that are still in several components, links,
+    Components only grow together, so an n-gram that is no crowd does not become one: a round reads the postings of the crowds
+    of the round before, and all postings get their new names once, by a table of the components that were merged.
+
+    postings: node, n, label, pos, gram and BITS. Returns the postings without crowds that are in one component now, links,
     components and the pairs (u, v) that were decided (None if none was)."""
     tried, before, last = None, float("inf"), False
+    first, crowded, known_before = None, postings, known
     for turn in range(MOST_TURNS):
-        crowd = scratch.keep(crowds(postings).where(F.col("open") > CROWD * F.col("c")).select("gram", "open"), "crowd")
+        crowd = scratch.keep(crowds(crowded).where(F.col("open") > CROWD * F.col("c")).select("gram", "open"), "crowd")
         left = crowd.agg(F.sum("open")).first()[0]
         if left is None or last:
             break
         last = left > 0.75 * before
         before, crowd = left, crowd.select("gram")
-        inside = postings.join(crowd, "gram")
+        crowded = scratch.keep(crowded.join(crowd, "gram"), f"crowded-{turn}")
+        scratch.drop(f"crowded-{turn - 1}")
+        first = crowd if first is None else first
         part = F.pmod(F.xxhash64("gram", "node", F.lit(turn)), F.lit(LEADERS if last else 1))
         mark = F.struct(F.xxhash64("node", "gram", F.lit(turn)).alias("mark"), *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "label", "pos", *BITS)])
-        leaders = scratch.keep(inside.groupBy("gram", part.alias("part")).agg(F.min(mark).alias("m")).select("gram", "m.*"), "crowd-leaders")
-        rows = inside.join(leaders, "gram").where(F.col("label") != F.col("label_b"))
+        leaders = scratch.keep(crowded.groupBy("gram", part.alias("part")).agg(F.min(mark).alias("m")).select("gram", "m.*"), "crowd-leaders")
+        rows = crowded.join(leaders, "gram").where(F.col("label") != F.col("label_b"))
         need = _may_link(F.col("n"), F.col("n_b"), percent)
         rows = rows.where(F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b")) >= need)
         rows = rows.where(percent * F.greatest("n", "n_b").cast("long") <= 100 * F.least("n", "n_b").cast("long"))
@@ -348,11 +354,16 @@ def thin_crowds(postings: DataFrame, links: DataFrame | None, known: DataFrame,
         if new.isEmpty():
             before = 0
             continue
-        named = postings.drop("label").join(known, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), "pos", "gram", *BITS)
-        apart = named.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram")
+        crowded = crowded.drop("label").join(known, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), "pos", "gram", *BITS)
+    if known is not known_before:
+        # least nodes that named a component and do so no longer: no more than the links found here
+        merged = known.where("node <> label").join(known_before.where("node <> label"), "node", "left_anti")
+        merged = scratch.keep(merged.select(F.col("node").alias("label"), F.col("label").alias("next")), "merged")
+        named = postings.join(merged, "label", "left").select("node", "n", F.coalesce("next", "label").alias("label"), "pos", "gram", *BITS)
+        closed = named.join(first, "gram").groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low = high")
         # stored first: a join to a table, not to a sum over the same shuffle, is one whose crowded n-grams can be split
-        postings = scratch.keep(named.join(scratch.keep(apart, "apart"), "gram"), f"postings-{turn}")
-        scratch.drop("postings" if turn == 0 else f"postings-{turn - 1}")
+        postings = scratch.keep(named.join(scratch.keep(closed.select("gram"), "closed"), "gram", "left_anti"), "postings-left")
+        scratch.drop("postings")
     return postings, links, known, tried
 
 
@@ -458,6 +469,7 @@ def linked_rows(docs: DataFrame, id_col: str, text: str, size: int, percent: int
     matches = matches.where(F.col("c") + F.col("from_last") - 1 >= need).select("u", "v", "c", "lu", "lv")
     found = scratch.keep(matches if tried is None else matches.join(tried, ["u", "v"], "left_anti"), "pairs")
     scratch.drop("postings")
+    scratch.drop("postings-left")
     scratch.release()
     links, known = settle(found, links, known, nodes, docs, id_col, text, size, percent, PAIR_QUOTAS, scratch)
 

@@ -173,3 +173,26 @@ def test_bits_never_rule_out_a_link():
                 continue
             x, y = (np.bincount((np.unique(h) % 256).astype(int), minlength=256) & 1 for h in (a, b))
             assert (x ^ y).sum() <= len(np.unique(a)) + len(np.unique(b)) - 2 * ngram_join.least_overlap(len(np.unique(a)), len(np.unique(b)))
+
+
+def test_rounds_over_crowds_leave_other_postings_alone(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"v{k}" for k in range(60)]
+    rows = []
+    for k in range(200):  # shares much and links little: several rounds
+        words = list(base)
+        for at in rng.sample(range(60), 2):
+            words[at] = f"n{k}"
+        rows.append((k, " ".join(words)))
+    blocks = [" ".join(f"b{k}x{i}" for i in range(40)) for k in range(600)]
+    rows += [(1000 + k, f"{blocks[k]} {blocks[(k + 1) % 600]}") for k in range(600)]  # each n-gram in two texts, without links
+    read, crowds = [], ngram_join.crowds
+
+    def counted(postings):
+        read.append(postings.count())
+        return crowds(postings)
+
+    monkeypatch.setattr(ngram_join, "crowds", counted)
+    got = ngram_join.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows)
+    assert len(read) >= 3 and sum(read) <= 2 * read[0], read
